@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .jobs import table
 from .ngram_join import jaccard_join
+from .suffix_dedup import repeated_spans
 
 WORDS = "list_filter(string_split_regex(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"), length=50, k=8).drop("text_hash")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=(1, 2))
 
@@ -27,5 +32,5 @@ q AS (SELECT * FROM p WHERE 3 * overlap >= size_a + size_b
 SELECT doc_a, doc_b, overlap, size_a, size_b, round(overlap / (size_a + size_b - overlap), 6) AS jaccard FROM q
 """
 
-QUERIES = {"op6_ngram_jaccard": op6_ngram_jaccard}
+QUERIES = {"op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
 SQL = {"op6_ngram_jaccard": OP6_SQL}
