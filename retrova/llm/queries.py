@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .jobs import table
+from .line_dedup import repeated_units
 from .ngram_join import jaccard_join
 from .suffix_dedup import repeated_spans
 
@@ -32,5 +33,20 @@ q AS (SELECT * FROM p WHERE 3 * overlap >= size_a + size_b
 SELECT doc_a, doc_b, overlap, size_a, size_b, round(overlap / (size_a + size_b - overlap), 6) AS jaccard FROM q
 """
 
-QUERIES = {"op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
-SQL = {"op6_ngram_jaccard": OP6_SQL}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=5)
+
+
+OP9_SQL = """
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS u FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT doc_id, unnest(u) AS part, unnest(range(len(u))) AS unit_no FROM s),
+o AS (SELECT doc_id, unit_no, length(part) AS n_chars, trim(regexp_replace(lower(part), '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) AS norm,
+        coalesce(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p),
+w AS (SELECT * FROM o WHERE norm <> '' AND len(string_split(norm, ' ')) >= 5),
+f AS (SELECT norm, min((doc_id, unit_no)) AS first, count(*) AS copies FROM w GROUP BY norm HAVING count(*) > 1)
+SELECT doc_id, unit_no, start, n_chars, first[1] AS first_doc_id, first[2] AS first_unit_no, copies
+FROM w JOIN f USING (norm) WHERE (doc_id, unit_no) <> first
+"""
+
+QUERIES = {"op9_line_dedup": op9_line_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
+SQL = {"op9_line_dedup": OP9_SQL, "op6_ngram_jaccard": OP6_SQL}
