@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .jobs import table
 from .line_dedup import repeated_units
 from .ngram_join import jaccard_join
+from .quality_bayes import classify, train_on
 from .suffix_dedup import repeated_spans
 
 WORDS = "list_filter(string_split_regex(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"
@@ -16,6 +18,15 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"), length=50, k=8).drop("text_hash")
 
 
+def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept, each with its evidence and posterior."""
+    docs = table(spark, sf_dir, "documents")
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    model = train_on(docs, table(spark, sf_dir, "labels"), good, max_train=4000)
+    kept = classify(docs.select("doc_id", "text", "source", "lang"), model).where("_quality >= 0.6 and text is not null")
+    return kept.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), F.col("_evidence").alias("evidence"), F.col("_host_rate").alias("host_rate"), F.col("_path_rate").alias("path_rate"), F.col("_quality").alias("quality"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=(1, 2))
 
@@ -48,5 +59,5 @@ SELECT doc_id, unit_no, start, n_chars, first[1] AS first_doc_id, first[2] AS fi
 FROM w JOIN f USING (norm) WHERE (doc_id, unit_no) <> first
 """
 
-QUERIES = {"op9_line_dedup": op9_line_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
+QUERIES = {"op2_quality_bayes": op2_quality_bayes, "op9_line_dedup": op9_line_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
 SQL = {"op9_line_dedup": OP9_SQL, "op6_ngram_jaccard": OP6_SQL}
