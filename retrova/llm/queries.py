@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .jobs import table
 from .line_dedup import repeated_units
 from .ngram_join import jaccard_join
+from .phrases import fingerprints
 from .quality_bayes import classify, train_on
 from .suffix_dedup import repeated_spans
 
@@ -59,5 +60,9 @@ SELECT doc_id, unit_no, start, n_chars, first[1] AS first_doc_id, first[2] AS fi
 FROM w JOIN f USING (norm) WHERE (doc_id, unit_no) <> first
 """
 
-QUERIES = {"op2_quality_bayes": op2_quality_bayes, "op9_line_dedup": op9_line_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
+def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"), depth=5)
+
+
+QUERIES = {"op10_phrase_fingerprints": op10_phrase_fingerprints, "op2_quality_bayes": op2_quality_bayes, "op9_line_dedup": op9_line_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
 SQL = {"op9_line_dedup": OP9_SQL, "op6_ngram_jaccard": OP6_SQL}
