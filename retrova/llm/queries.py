@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .jobs import table
 from .line_dedup import repeated_units
+from .merge_dropout import encode_documents
 from .ngram_join import jaccard_join
 from .phrases import fingerprints
 from .quality_bayes import classify, train_on
@@ -64,5 +65,9 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"), depth=5)
 
 
-QUERIES = {"op10_phrase_fingerprints": op10_phrase_fingerprints, "op2_quality_bayes": op2_quality_bayes, "op9_line_dedup": op9_line_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), dropout=0.1, seed=17, variants=8)
+
+
+QUERIES = {"op4_merge_dropout": op4_merge_dropout, "op10_phrase_fingerprints": op10_phrase_fingerprints, "op2_quality_bayes": op2_quality_bayes, "op9_line_dedup": op9_line_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
 SQL = {"op9_line_dedup": OP9_SQL, "op6_ngram_jaccard": OP6_SQL}
