@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import stages
 from .jobs import table
 from .line_dedup import repeated_units
 from .merge_dropout import encode_documents
+from .mixing import mixed
 from .ngram_join import jaccard_join
 from .phrases import fingerprints
 from .quality_bayes import classify, train_on
@@ -69,5 +71,12 @@ def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), dropout=0.1, seed=17, variants=8)
 
 
-QUERIES = {"op4_merge_dropout": op4_merge_dropout, "op10_phrase_fingerprints": op10_phrase_fingerprints, "op2_quality_bayes": op2_quality_bayes, "op9_line_dedup": op9_line_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
+def op7_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how often each comes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    chosen = mixed(docs, stages.sources(), stages.WEIGHTS, epochs=stages.EPOCHS, seed=17)
+    return chosen.select("doc_id", F.col("_pattern").alias("pattern"), F.col("_tokens").alias("n_words"), F.col("_copies").alias("copies"))
+
+
+QUERIES = {"op7_flow_mixing": op7_flow_mixing, "op4_merge_dropout": op4_merge_dropout, "op10_phrase_fingerprints": op10_phrase_fingerprints, "op2_quality_bayes": op2_quality_bayes, "op9_line_dedup": op9_line_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
 SQL = {"op9_line_dedup": OP9_SQL, "op6_ngram_jaccard": OP6_SQL}
