@@ -1,15 +1,32 @@
-"""Corpus pipeline over the table documents (stages follow)."""
+"""Corpus pipeline: five stages over the table documents, each written as Parquet and read again."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from retrova.llm import stages
+
+STAGES = [
+    ("quality classifier", stages.quality),
+    ("n-gram Jaccard join", stages.near_duplicates),
+    ("suffix-array dedup", stages.suffixes),
+    ("mixing to target weights", stages.mix),
+    ("SentencePiece encoding", stages.encode),
+]
+
+#: SQL can express neither the classifier nor the encoder; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn. Their tables lie in the shared folder of spark.checkpoint.dir, or, where that is unset, in a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    root = f"{root}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
+        docs = spark.read.parquet(f"{root}/{k}")
     return docs
