@@ -14,6 +14,7 @@ from .ngram_join import jaccard_join
 from .phrases import fingerprints
 from .quality_bayes import classify, train_on
 from .suffix_dedup import repeated_spans
+from .url_filter import SOFT, STRICT, url_scores
 
 WORDS = "list_filter(string_split_regex(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"
 
@@ -78,5 +79,22 @@ def op7_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("doc_id", F.col("_pattern").alias("pattern"), F.col("_tokens").alias("n_words"), F.col("_copies").alias("copies"))
 
 
-QUERIES = {"op7_flow_mixing": op7_flow_mixing, "op4_merge_dropout": op4_merge_dropout, "op10_phrase_fingerprints": op10_phrase_fingerprints, "op2_quality_bayes": op2_quality_bayes, "op9_line_dedup": op9_line_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
-SQL = {"op9_line_dedup": OP9_SQL, "op6_ngram_jaccard": OP6_SQL}
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_scores(table(spark, sf_dir, "pages"), STRICT, SOFT, soft_limit=3, weight_limit=3.0)
+
+
+def _op5_sql() -> str:
+    """A regular expression for each term; the other side of the boundary check is a lookahead that RE2 lacks, so hits are counted on doubled separators."""
+    rows = ", ".join([*(f"('{t}', TRUE, 0.0)" for t in sorted(STRICT)), *(f"('{t}', FALSE, {w})" for t, w in sorted(SOFT.items()))])
+    return f"""
+WITH v(term, strict, weight) AS (VALUES {rows}),
+u AS (SELECT row_number() OVER () AS r, page_id, url, regexp_replace(lower(coalesce(url, '')), '([^a-z0-9])', '\\1\\1', 'g') AS x FROM pages),
+h AS (SELECT r, strict, weight, len(regexp_extract_all(x, '(^|[^a-z0-9])' || replace(replace(term, '-', '--'), '_', '__') || '([^a-z0-9]|$)')) AS n FROM u, v),
+s AS (SELECT r, sum(CASE WHEN strict THEN n ELSE 0 END)::BIGINT AS n_strict, count(*) FILTER (NOT strict AND n > 0) AS n_soft,
+        coalesce(sum(weight) FILTER (NOT strict AND n > 0), 0)::DOUBLE AS weight FROM h GROUP BY r)
+SELECT page_id, url, n_strict, n_soft, weight, n_strict > 0 OR n_soft >= 3 OR weight >= 3.0 AS rejected FROM u JOIN s USING (r)
+"""
+
+
+QUERIES = {"op5_url_filter": op5_url_filter, "op7_flow_mixing": op7_flow_mixing, "op4_merge_dropout": op4_merge_dropout, "op10_phrase_fingerprints": op10_phrase_fingerprints, "op2_quality_bayes": op2_quality_bayes, "op9_line_dedup": op9_line_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
+SQL = {"op5_url_filter": _op5_sql(), "op9_line_dedup": OP9_SQL, "op6_ngram_jaccard": OP6_SQL}
