@@ -4,16 +4,20 @@ The incidence matrix (distinct n-gram sets by n-grams) is cut into blocks of
 columns. Each block travels as a compact binary tile, not as one row an entry.
 
 1. A column block counts each n-gram's sets. Only n-grams of two sets or more
-   can add to an overlap; their entries go on to the sets' row blocks.
+   can add to an overlap; their entries go on to the sets' row blocks. Columns that
+   the same sets hold, as those of a shared passage, become one weighted column.
 2. A set with fewer such n-grams than ceil(t * size) can't reach the threshold
    with anything and is discarded.
 3. n-grams are ordered by how many sets hold them. Two sets that reach the
    threshold share one of the first size - ceil(t * size) + 1 n-grams of both,
    so only these are multiplied, within the bounds t * |B| <= |A| <= |B| and the
    overlap still possible after each position.
-4. The remaining pairs' overlaps are accumulated in full, block by block.
+   What goes on are the sets that a block must compare, not pairs.
+4. Each block gets its sets whole and accumulates the overlaps of its pairs in
+   full. A pair belongs to the block of the first n-gram that both sets share,
+   which the block sees for itself: pairs are never shuffled.
 
-The result is exact (64-bit n-gram hashes aside). Identical sets are one row of
+The result is exact (hashes of 64 bits for n-grams and of 57 for columns aside). Identical sets are one row of
 the matrix; each of their documents is paired with the first, so that a group of
 m copies gives m - 1 rows and not m * (m - 1) / 2.
 """
@@ -35,8 +39,10 @@ U = np.uint64
 FLUSH = 2_000_000
 #: Pairs that are multiplied at once.
 PAIRS = 2_000_000
-#: Candidate pairs of one block; more are split into tiles of rows.
-TILE_PAIRS = 1_000_000
+#: Sets of a block's tile; an n-gram that more sets have in their prefixes is compared tile by tile.
+TILE = 1024
+#: Earlier n-grams of the set that a posting carries.
+BEFORE = 8
 
 
 def row_sets(piece: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,13 +136,16 @@ def _column_tiles(n: int, parts: int):
 
 
 def _count_columns(parts: int):
-    """Column blocks to row tiles: entries of n-grams that two sets or more hold."""
+    """Column blocks to row tiles: entries of n-grams that two sets or more hold.
+
+    Columns that the same sets hold are one column of their number's weight, named
+    by their sets and ordered by how many these are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, row, digest, size, base, block = [], [], [], [], 0, 0
+        g, row, digest, size, base = [], [], [], [], 0
         for batch in batches:
-            for b, tile in zip(batch.column(0).to_pylist(), batch.column(1)):
-                block = b
+            for tile in batch.column(1):
                 view = memoryview(tile.as_buffer())
                 nd, ne = np.frombuffer(view[:8], np.uint32)
                 nd, ne = int(nd), int(ne)
@@ -168,15 +177,20 @@ def _count_columns(parts: int):
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
         g, row, d = g[new], row[new], d[new]
-        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+        if not len(g):
+            return
+        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         df = np.diff(np.append(start, len(g)))
-        rank = np.repeat(np.arange(len(start), dtype=np.uint32), df)
-        df = np.repeat(df, df)
-        keep = df > 1
-        row, d, rank, df = row[keep], d[keep], rank[keep], df[keep]
-        level = np.minimum(127, np.floor(4 * np.log2(np.maximum(df, 1)))).astype(np.uint8)
-        order = np.argsort(d, kind="stable")
-        row, d, rank, level = row[order], d[order], rank[order], level[order]
+        column = np.add.reduceat(K.mix(d), start)
+        level = np.minimum(63, np.floor(2 * np.log2(df))).astype(U)
+        key = np.repeat((level << U(57)) | (K.mix(column) >> U(7)), df)
+        keep = np.repeat(df > 1, df)
+        row, d, key = row[keep], d[keep], key[keep]
+        order = np.lexsort((key, d))
+        row, d, key = row[order], d[order], key[order]
+        new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (key[1:] != key[:-1])])) if len(d) else np.zeros(0, np.int64)
+        weight = np.diff(np.append(new, len(d))).astype(np.uint32)
+        row, d, key = row[new], d[new], key[new]
         bounds = np.searchsorted(_bucket(d, parts), np.arange(parts + 1, dtype=U))
         ids, tiles = [], []
         for b in np.flatnonzero(np.diff(bounds)):
@@ -184,182 +198,234 @@ def _count_columns(parts: int):
             first = np.flatnonzero(np.concatenate([[True], d[lo + 1 : hi] != d[lo : hi - 1]]))
             count = np.diff(np.append(first, hi - lo)).astype(np.uint32)
             ids.append(b)
-            tiles.append(np.array([len(first), hi - lo, block], np.uint32).tobytes() + d[lo:hi][first].tobytes() + size[row[lo:hi][first]].tobytes() + count.tobytes() + rank[lo:hi].tobytes() + level[lo:hi].tobytes())
+            tiles.append(np.array([len(first), hi - lo], np.uint32).tobytes() + d[lo:hi][first].tobytes() + size[row[lo:hi][first]].tobytes() + count.tobytes() + weight[lo:hi].tobytes() + key[lo:hi].tobytes())
         yield pa.record_batch({"block": pa.array(ids, pa.int32()), "tile": pa.array(tiles, pa.binary())})
 
     return run
 
 
 def _survivors(num: int, den: int):
-    """Row blocks: the sets with enough shared n-grams, these in the global order."""
+    """Row blocks: the sets with enough shared n-grams, their columns in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, size, key = [], [], []
+        digest, size, key, weight = [], [], [], []
         for batch in batches:
             for tile in batch.column(1):
                 view = memoryview(tile.as_buffer())
-                nd, ne, block = (int(x) for x in np.frombuffer(view[:12], np.uint32))
-                at = 12
+                nd, ne = (int(x) for x in np.frombuffer(view[:8], np.uint32))
+                at = 8
                 d = np.frombuffer(view[at : at + 8 * nd], U)
                 at += 8 * nd
                 s = np.frombuffer(view[at : at + 4 * nd], np.uint32)
                 at += 4 * nd
                 c = np.frombuffer(view[at : at + 4 * nd], np.uint32)
                 at += 4 * nd
-                rank = np.frombuffer(view[at : at + 4 * ne], np.uint32)
+                weight.append(np.frombuffer(view[at : at + 4 * ne], np.uint32))
                 at += 4 * ne
-                level = np.frombuffer(view[at : at + ne], np.uint8)
+                key.append(np.frombuffer(view[at : at + 8 * ne], U))
                 digest.append(np.repeat(d, c))
                 size.append(np.repeat(s, c))
-                key.append((level.astype(np.int64) << 56) | (block << 32) | rank.astype(np.int64))
         if not digest:
             return
-        digest, size, key = map(np.concatenate, (digest, size, key))
-        order = np.argsort(digest, kind="stable")
-        digest, size, key = digest[order], size[order], key[order]
-        start = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]]))
-        count = np.diff(np.append(start, len(digest)))
-        n = size[start].astype(np.int64)
-        keep = count * den >= n * num
-        digest, size, key = (x[np.repeat(keep, count)] for x in (digest, size, key))
+        digest, size, key, weight = map(np.concatenate, (digest, size, key, weight))
         order = np.lexsort((key, digest))
-        d, count, n = digest[order], count[keep], n[keep]
-        first = np.cumsum(count) - count
+        digest, size, key, weight = digest[order], size[order], key[order], weight[order]
+        new = np.flatnonzero(np.concatenate([[True], (digest[1:] != digest[:-1]) | (key[1:] != key[:-1])]))
+        weight = np.add.reduceat(weight.astype(np.int64), new)
+        digest, size, key = digest[new], size[new].astype(np.int64), key[new].view(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]]))
+        count, n, shared = np.diff(np.append(start, len(digest))), size[start], np.add.reduceat(weight, start)
+        keep = shared * den >= n * num
+        start, count, n = start[keep], count[keep], n[keep]
         for lo in range(0, len(count), 4096):
-            hi = min(lo + 4096, len(count))
-            a, b = first[lo], first[hi - 1] + count[hi - 1]
-            yield pa.record_batch({"set_id": d[first[lo:hi]].view(np.int64), "size": n[lo:hi], "grams": K.lists(key[order[a:b]], count[lo:hi])})
+            z = slice(lo, lo + 4096)
+            at = np.repeat(start[z], count[z]) + K.ragged(count[z])
+            yield pa.record_batch({"set_id": digest[start[z]].view(np.int64), "size": n[z], "grams": K.lists(key[at], count[z]), "weights": K.lists(weight[at], count[z])})
 
     return run
 
 
+def _places(n: np.ndarray, weight: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How many n-grams of its set come before each column: the unshared ones, then the columns in order."""
+    total = np.zeros(len(weight) + 1, np.int64)
+    np.cumsum(weight, out=total[1:])
+    end = np.cumsum(count)
+    return total[:-1] + np.repeat(n - total[end], count)
+
+
 def _prefixes(num: int, den: int):
+    """Postings of the prefixes. Each carries the BEFORE columns before it in the order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sid, n = (batch.column(k).to_numpy() for k in (0, 1))
-            col = batch.column(2)
-            flat, offs = col.flatten().to_numpy(), col.offsets.to_numpy()
-            count = np.diff(offs)
-            alone = n - count
-            take = np.clip(n - -(-n * num // den) + 1 - alone, 0, count)
-            at = K.ragged(take)
-            yield pa.record_batch({"gram": flat[np.repeat(offs[:-1] - offs[0], take) + at], "set_id": np.repeat(sid, take), "size": np.repeat(n, take), "place": np.repeat(alone, take) + at})
+            sid, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            flat, weight = (batch.column(k).flatten().to_numpy() for k in (3, 4))
+            count = np.diff(batch.column(3).offsets.to_numpy())
+            place = _places(n, weight, count)
+            take = np.flatnonzero(place <= np.repeat(n - -(-n * num // den), count))
+            at = K.ragged(count)[take]
+            out = {"gram": flat[take], "set_id": np.repeat(sid, count)[take], "size": np.repeat(n, count)[take], "place": place[take]}
+            for k in range(1, BEFORE + 1):
+                out[f"before{k}"] = np.where(at >= k, flat[np.maximum(take - k, 0)], -k)
+            yield pa.record_batch(out)
 
     return run
 
 
+def _pairs(group: np.ndarray, n: np.ndarray, place: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions i < j of one group (rows come by group and size) whose sizes and places still allow the threshold."""
+    most = n * den // num
+    scale = np.int64(max(int(most.max()), int(n.max())) + 2)
+    comp = group * scale + n
+    hi = np.searchsorted(comp, group * scale + most, side="right")
+    count = np.maximum(hi - np.arange(len(n)) - 1, 0)
+    ends = np.cumsum(count)
+    lo = 0
+    while lo < len(count):
+        to = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+        c = count[lo:to]
+        i = np.repeat(np.arange(lo, to), c)
+        j = i + 1 + K.ragged(c)
+        ok = np.minimum(n[i] - place[i], n[j] - place[j]) >= -(-(n[i] + n[j]) * num // (num + den))
+        yield i[ok], j[ok]
+        lo = to
+
+
 def _multiply(num: int, den: int):
-    """Postings of whole n-grams to candidate pairs; each pair once in a partition, with its least n-gram."""
+    """Whole n-grams' postings to the sets that their blocks must compare.
+
+    A pair is left to an earlier n-gram if both carry one in common. The first
+    n-gram that two sets share is never skipped, so each pair is met at least once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        gram, sid, n, place = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(4))
+        gram, sid, n, place, *before = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(4 + BEFORE))
         order = np.lexsort((sid, n, gram))
         gram, sid, n, place = gram[order], sid[order], n[order], place[order]
-        group = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]])).astype(np.int64)
-        most = n * den // num
-        scale = np.int64(max(int(most.max()), int(n.max())) + 2)
-        comp = group * scale + n
-        hi = np.searchsorted(comp, group * scale + np.minimum(most, scale - 1), side="right")
-        count = np.maximum(hi - np.arange(len(n)) - 1, 0)
-        ends = np.cumsum(count)
-        held, lo = [], 0
-        while lo < len(count):
-            to = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
-            c = count[lo:to]
-            i = np.repeat(np.arange(lo, to), c)
-            j = i + 1 + K.ragged(c)
-            need = -(-(n[i] + n[j]) * num // (num + den))
-            ok = 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1 >= need
-            i, j = i[ok], j[ok]
-            a, b = np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
-            held.append(_first(a, b, gram[i]))
-            lo = to
-        a, b, g = _first(*(np.concatenate([h[k] for h in held]) for k in range(3)))
-        for k in range(0, len(a), 1 << 18):
-            yield pa.record_batch({"a": a[k : k + (1 << 18)], "b": b[k : k + (1 << 18)], "gram": g[k : k + (1 << 18)]})
+        before = [x[order] for x in before]
+        new = np.concatenate([[True], gram[1:] != gram[:-1]])
+        group, start = np.cumsum(new) - 1, np.flatnonzero(new)
+        tile = (np.arange(len(gram)) - start[group]) // TILE
+        tiles = np.int64(tile.max() + 1)
+        held: list[np.ndarray] = []
+
+        def wanted(parts: list[np.ndarray]) -> np.ndarray:
+            return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
+        size, scale = 0, np.int64(len(gram))
+        for i, j in _pairs(group, n, place, num, den):
+            earlier = np.zeros(len(i), bool)
+            for x in before:
+                for y in before:
+                    earlier |= (x[i] == y[j]) & (x[i] >= 0)
+            i, j = i[~earlier], j[~earlier]
+            # a block's code: the place of its other tile, and the row itself; 2 * other + side
+            for mine, other, side in ((i, j, 0), (j, i, 1)):
+                code = (tile[other] * 2 + side) * scale + mine
+                held.append(np.unique(code))
+            size += len(held[-1]) + len(held[-2])
+            if size > 4 * PAIRS:
+                held = [wanted(held)]
+                size = len(held[0])
+        code = wanted(held)
+        mine, other = code % scale, code // scale
+        side, other = other % 2, other // 2
+        left, right = np.where(side == 0, tile[mine], other), np.where(side == 0, other, tile[mine])
+        side = np.where(left == right, 2, side)
+        rows = np.unique(np.column_stack([mine, left * tiles + right, side]), axis=0) if len(mine) else np.zeros((0, 3), np.int64)
+        mine = rows[:, 0]
+        for k in range(0, len(rows), 1 << 18):
+            z = slice(k, k + (1 << 18))
+            yield pa.record_batch({"gram": gram[mine[z]], "tile": rows[z, 1], "side": rows[z, 2], "set_id": sid[mine[z]]})
 
     return run
 
 
-def _first(a: np.ndarray, b: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((g, b, a))
-    a, b, g = a[order], b[order], g[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new], g[new]
-
-
-def _accumulate(num: int, den: int):
-    """Rows with grams are sets, the others pairs; both of whole blocks."""
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of an edge list, each but the least of its component, with that least one."""
+    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = inv[: len(a)], inv[len(a) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        label = new[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    rest = label != np.arange(len(nodes))
+    return nodes[rest], nodes[label[rest]]
+
+
+def _accumulate(num: int, den: int, forest: bool):
+    """Whole blocks of sets to the pairs that reach the threshold; a pair counts in the block of the first n-gram that it shares.
+
+    forest: of a task's pairs, only as many come as keep its groups together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, sizes, flats, counts, left, right = [], [], [], [], [], []
-        for batch in batches:
-            is_pair = batch.column(1).is_valid()
-            pairs, rows = batch.filter(is_pair), batch.filter(batch.column(1).is_null())
-            left.append(pairs.column(0).to_numpy())
-            right.append(pairs.column(1).to_numpy())
-            col = rows.column(3)
-            sets.append(rows.column(0).to_numpy())
-            sizes.append(rows.column(2).to_numpy())
-            flats.append(col.flatten().to_numpy())
-            counts.append(np.diff(col.offsets.to_numpy()))
-        if not sets:
-            return
-        sets, sizes, flats, counts, left, right = map(np.concatenate, (sets, sizes, flats, counts, left, right))
-        if not len(left):
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        starts = np.cumsum(counts) - counts
-        sid, first = np.unique(sets, return_index=True)  # a set may come once for each block
-        take = counts[first]
-        flat = flats[np.repeat(starts[first], take) + K.ragged(take)]
-        size, count = sizes[first], take
+        gram, tile, side, head, n = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(5))
+        sid = np.concatenate([b.column(7).to_numpy() for b in got])
+        flat, weight = (np.concatenate([b.column(k).flatten().to_numpy() for b in got]) for k in (5, 6))
+        count = np.concatenate([np.diff(b.column(5).offsets.to_numpy()) for b in got])
+        start = np.cumsum(count) - count
+        order = np.lexsort((sid, n, tile, gram))
+        gram, tile, side, head, n, count, start = (x[order] for x in (gram, tile, side, head, n, count, start))
+        at = np.repeat(start, count) + K.ragged(count)
+        flat, weight = flat[at], weight[at]
         start = np.cumsum(count) - count
-        _, gid = np.unique(flat, return_inverse=True)
-        width = np.int64(gid.max() + 1)
-        cells = np.repeat(np.arange(len(sid)), count) * width + gid
-        cells.sort()
-        gid = cells % width
-        i, j = np.searchsorted(sid, left), np.searchsorted(sid, right)
-        i, j = np.where(count[i] <= count[j], i, j), np.where(count[i] <= count[j], j, i)
-        ends = np.cumsum(count[i])
-        overlap, lo = np.zeros(len(i), np.int64), 0
-        while lo < len(i):
-            to = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
-            c = count[i[lo:to]]
-            want = np.repeat(j[lo:to], c) * width + gid[np.repeat(start[i[lo:to]], c) + K.ragged(c)]
-            at = np.minimum(np.searchsorted(cells, want), len(cells) - 1)
-            hit = np.zeros(len(want) + 1, np.int64)
-            np.cumsum(cells[at] == want, out=hit[1:])
-            e = np.cumsum(c)
-            overlap[lo:to] = hit[e] - hit[e - c]
-            lo = to
-        na, nb = size[np.searchsorted(sid, left)], size[np.searchsorted(sid, right)]
-        ok = overlap * (num + den) >= num * (na + nb)
-        yield pa.record_batch({"a": left[ok], "b": right[ok], "overlap": overlap[ok], "size_a": na[ok], "size_b": nb[ok]})
+        names, cell = np.unique(flat, return_inverse=True)
+        width = np.int64(len(names))
+        cells = np.repeat(np.arange(len(n)), count) * width + cell  # sorted, as rows and their n-grams are
+        mine = np.searchsorted(names, gram)
+        place = _places(n, weight, count)[np.searchsorted(cells, np.arange(len(n)) * width + mine)]
+        group = np.cumsum(np.concatenate([[0], (gram[1:] != gram[:-1]) | (tile[1:] != tile[:-1])]))
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, j in _pairs(group, n, place, num, den):
+            ok = (side[i] == 2) | ((side[i] == 0) & (side[j] == 1))
+            i, j = i[ok], j[ok]
+            few, many = np.where(count[i] <= count[j], i, j), np.where(count[i] <= count[j], j, i)
+            ends, lo = np.cumsum(count[few]), 0
+            while lo < len(i):
+                to = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+                z = slice(lo, to)
+                c = count[few[z]]
+                at = np.repeat(start[few[z]], c) + K.ragged(c)
+                x = cell[at]
+                want = np.repeat(many[z] * width, c) + x
+                hit = cells[np.minimum(np.searchsorted(cells, want), len(cells) - 1)] == want
+                earlier = hit & (x < np.repeat(mine[i[z]], c))
+                e = np.cumsum(c)
+                overlap, earlier = ((s := np.concatenate([[0], np.cumsum(v)]))[e] - s[e - c] for v in (hit * weight[at], earlier))
+                a, b = i[z], j[z]
+                ok = (earlier == 0) & (overlap * (num + den) >= num * (n[a] + n[b])) & (head[a] != head[b])
+                a, b, overlap = a[ok], b[ok], overlap[ok]
+                a, b = np.where(head[a] < head[b], a, b), np.where(head[a] < head[b], b, a)
+                if forest:
+                    edges.append(roots(head[a], head[b]))
+                else:
+                    yield pa.record_batch({"doc_a": head[a], "doc_b": head[b], "overlap": overlap, "size_a": n[a], "size_b": n[b]})
+                lo = to
+        if edges:
+            node, root = roots(*(np.concatenate([e[k] for e in edges]) for k in range(2)))
+            none = np.zeros(len(node), np.int64)
+            yield pa.record_batch({"doc_a": root, "doc_b": node, "overlap": none, "size_a": none, "size_b": none})
 
     return run
 
 
-def jaccard_join(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (1, 2), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs (doc_a < doc_b, overlap, size_a, size_b, jaccard) with a Jaccard similarity of `threshold` (numerator, denominator) or more.
-
-    Words are runs of bytes other than ASCII white space, case and punctuation kept.
-    A text of 1 to n-1 words has one n-gram, all its words. Documents with equal
-    n-gram sets form a group: each is paired with its least doc_id (jaccard 1), and
-    only that one takes part in pairs with other sets.
-
-    Null doc_id or text, and texts without words: in no pair. Repeated rows and
-    rows of one doc_id: each text counts, but a doc_id is never paired with itself;
-    a pair that two texts of one doc_id give appears once, with the highest
-    similarity. Very long texts are taken whole. No rows: no pairs. Other columns
-    are not read.
-    """
+def _alike(docs: DataFrame, n: int, threshold: tuple[int, int], id_col: str, text_col: str, forest: bool) -> DataFrame:
     num, den = threshold
     if not 0 < num <= den:
         raise ValueError("threshold must be in (0, 1]")
@@ -367,30 +433,57 @@ def jaccard_join(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (1, 2
     parts = partitions(spark)
     texts = usable(docs, id_col, text_col)
     tile = "block int, tile binary"
+    members = cut(texts.mapInArrow(_members(n), "doc_id long, set_id long, size long").distinct())
+    heads = members.groupBy("set_id").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("m"))
     columns = texts.mapInArrow(_column_tiles(n, parts), tile).repartitionById(parts, F.col("block"))
     rows = columns.mapInArrow(_count_columns(parts), tile).repartitionById(parts, F.col("block"))
-    sets = cut(rows.mapInArrow(_survivors(num, den), "set_id long, size long, grams array<long>"))
+    sets = rows.mapInArrow(_survivors(num, den), "set_id long, size long, grams array<long>, weights array<long>")
+    sets = cut(sets.join(heads, "set_id").select("set_id", "head", "size", "grams", "weights"))
     del columns, rows
     release(spark)
-    postings = sets.mapInArrow(_prefixes(num, den), "gram long, set_id long, size long, place long").repartition(parts, "gram")
-    found = postings.mapInArrow(_multiply(num, den), "a long, b long, gram long").groupBy("a", "b").agg(F.min("gram").alias("gram"))
-    found = cut(found)
-    tiles = found.groupBy("gram").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / TILE_PAIRS)).cast("int").alias("side"))
-    found = found.join(tiles, "gram").select("gram", F.pmod("a", "side").alias("ta"), F.pmod("b", "side").alias("tb"), "a", "b")
-    wanted = found.select("gram", "ta", "tb", F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    rows = wanted.join(sets, "set_id").select("gram", "ta", "tb", F.col("set_id").alias("a"), F.lit(None).cast("long").alias("b"), "size", "grams")
-    both = rows.unionByName(found.select("gram", "ta", "tb", "a", "b", F.lit(None).cast("long").alias("size"), F.lit(None).cast("array<long>").alias("grams")))
-    pairs = both.repartition(parts, "gram", "ta", "tb").select("a", "b", "size", "grams").mapInArrow(_accumulate(num, den), "a long, b long, overlap long, size_a long, size_b long")
-    members = cut(texts.mapInArrow(_members(n), "doc_id long, set_id long, size long").distinct())
-    heads = members.groupBy("set_id").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("m"))
-    ha, hb = (heads.select(F.col("set_id").alias(x), F.col("head").alias(f"head_{x}")) for x in "ab")
-    across = pairs.join(ha, "a").join(hb, "b").where("head_a <> head_b")
-    swap = F.col("head_a") > F.col("head_b")
-    across = across.select(
-        F.least("head_a", "head_b").alias("doc_a"), F.greatest("head_a", "head_b").alias("doc_b"), "overlap",
-        F.when(swap, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"), F.when(swap, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b"),
-    )
+    postings = sets.mapInArrow(_prefixes(num, den), "gram long, set_id long, size long, place long" + "".join(f", before{k} long" for k in range(1, BEFORE + 1)))
+    wanted = postings.repartition(parts, "gram").mapInArrow(_multiply(num, den), "gram long, tile long, side long, set_id long")
+    blocks = wanted.join(sets, "set_id").select("gram", "tile", "side", "head", "size", "grams", "weights", "set_id").repartition(parts, "gram", "tile")
+    across = blocks.mapInArrow(_accumulate(num, den, forest), "doc_a long, doc_b long, overlap long, size_a long, size_b long")
     equal = members.join(heads.where("m > 1"), "set_id").where("doc_id <> head").select(F.col("head").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").alias("overlap"), F.col("size").alias("size_a"), F.col("size").alias("size_b"))
+    return across.unionByName(equal)
+
+
+def jaccard_join(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (1, 2), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs (doc_a < doc_b, overlap, size_a, size_b, jaccard) with a Jaccard similarity of `threshold` (numerator, denominator) or more.
+
+    Words are runs of bytes other than ASCII white space, case and punctuation kept.
+    A text of 1 to n-1 words has one n-gram, all its words. Documents with equal
+    n-gram sets form a group: each is paired with its least doc_id (jaccard 1), and
+    only that one takes part in pairs with other sets.
+
+    Null doc_id or text, and texts without words: in no pair. Repeated rows and
+    rows of one doc_id: equal sets count once; a doc_id is never paired with itself,
+    and one with several texts has a pair for each of them that is alike. Very long texts are taken whole. No rows: no pairs. Other columns
+    are not read.
+    """
     ratio = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
-    best = F.max_by(F.struct("overlap", "size_a", "size_b", "jaccard"), F.struct("jaccard", "overlap", "size_a"))
-    return across.unionByName(equal).withColumn("jaccard", F.round(ratio, 6)).groupBy("doc_a", "doc_b").agg(best.alias("x")).select("doc_a", "doc_b", "x.*")
+    return _alike(docs, n, threshold, id_col, text_col, False).withColumn("jaccard", F.round(ratio, 6))
+
+
+def near_groups(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (1, 2), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, head): the documents that pairs of `jaccard_join` link, directly or through others, to a lesser doc_id, and the least one of their group.
+
+    Null, empty, repeated and very long inputs are taken as there. The groups are
+    components of the pairs; tasks hand on spanning forests, not pairs, and the
+    forests are joined by alternating stars until nothing changes.
+    """
+    edges = _alike(docs, n, threshold, id_col, text_col, True).select(F.col("doc_b").alias("u"), F.col("doc_a").alias("v"))
+    edges = cut(edges.distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        new = cut(small)
+        sums = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if sums(new) == sums(edges):
+            return new.select(F.col("u").alias("doc_id"), F.col("v").alias("head"))
+        edges = new
