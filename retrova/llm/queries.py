@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import stages
 from .jobs import table
 from .line_dedup import repeated_units
+from .mcd_rules import robust_distances, within
 from .merge_dropout import encode_documents
 from .mixing import mixed
 from .ngram_join import jaccard_join
@@ -32,6 +33,11 @@ def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), F.col("_evidence").alias("evidence"), F.col("_host_rate").alias("host_rate"), F.col("_path_rate").alias("path_rate"), F.col("_quality").alias("quality"))
 
 
+def op3_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are kept, each with its group's level and its distance."""
+    return within(robust_distances(table(spark, sf_dir, "documents"), h=0.75, steps=4, least=200)).select("doc_id", "lang", "source", "level", "distance")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=(1, 2))
 
@@ -96,5 +102,5 @@ SELECT page_id, url, n_strict, n_soft, weight, n_strict > 0 OR n_soft >= 3 OR we
 """
 
 
-QUERIES = {"op5_url_filter": op5_url_filter, "op7_flow_mixing": op7_flow_mixing, "op4_merge_dropout": op4_merge_dropout, "op10_phrase_fingerprints": op10_phrase_fingerprints, "op2_quality_bayes": op2_quality_bayes, "op9_line_dedup": op9_line_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
+QUERIES = {"op3_mcd_rules": op3_mcd_rules, "op5_url_filter": op5_url_filter, "op7_flow_mixing": op7_flow_mixing, "op4_merge_dropout": op4_merge_dropout, "op10_phrase_fingerprints": op10_phrase_fingerprints, "op2_quality_bayes": op2_quality_bayes, "op9_line_dedup": op9_line_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
 SQL = {"op5_url_filter": _op5_sql(), "op9_line_dedup": OP9_SQL, "op6_ngram_jaccard": OP6_SQL}
