@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licence_scan as licence
 from . import stages
 from .jobs import table
 from .line_dedup import repeated_units
@@ -38,6 +39,11 @@ def op3_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return within(robust_distances(table(spark, sf_dir, "documents"), h=0.75, steps=4, least=200)).select("doc_id", "lang", "source", "level", "distance")
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licence.licence_scan(docs, licence.train_on(docs, max_background=2000), confirm=0.6)
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=(1, 2))
 
@@ -102,5 +108,16 @@ SELECT page_id, url, n_strict, n_soft, weight, n_strict > 0 OR n_soft >= 3 OR we
 """
 
 
-QUERIES = {"op3_mcd_rules": op3_mcd_rules, "op5_url_filter": op5_url_filter, "op7_flow_mixing": op7_flow_mixing, "op4_merge_dropout": op4_merge_dropout, "op10_phrase_fingerprints": op10_phrase_fingerprints, "op2_quality_bayes": op2_quality_bayes, "op9_line_dedup": op9_line_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op6_ngram_jaccard": op6_ngram_jaccard}
+QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_quality_bayes": op2_quality_bayes,
+    "op3_mcd_rules": op3_mcd_rules,
+    "op4_merge_dropout": op4_merge_dropout,
+    "op5_url_filter": op5_url_filter,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_flow_mixing": op7_flow_mixing,
+    "op8_licence_scan": op8_licence_scan,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_phrase_fingerprints": op10_phrase_fingerprints,
+}
 SQL = {"op5_url_filter": _op5_sql(), "op9_line_dedup": OP9_SQL, "op6_ngram_jaccard": OP6_SQL}
