@@ -34,6 +34,8 @@ U = np.uint64
 NONE = np.int32(2**31 - 1)
 #: Symbols of a unit from which its agenda is a heap of its own.
 LONG = 64
+#: Bytes of text whose units are worked off together.
+PIECE = 4 << 20
 
 
 def default_model() -> str:
@@ -316,7 +318,7 @@ def _encoded(path: str, dropout: float, seed: int, variants: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            for piece in K.slices(batch):
+            for piece in K.slices(batch, limit=PIECE):
                 buf, offs = K.utf8(piece.column(1))
                 who = K.mix(piece.column(0).to_numpy().view(U))
                 ids, counts = encode(v, buf, offs, who, dropout, seed, variants)

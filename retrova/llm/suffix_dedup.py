@@ -36,6 +36,7 @@ from .jobs import cut, partitions, release, usable
 
 U = np.uint64
 SYMBOL = 10  # words in one packed symbol of the sort
+HELD = 1_000_000  # words of a bucket that are sorted at once; suffixes of the same leading words stay together
 _B = 0xD6E8FEB86659FD93
 
 
@@ -141,7 +142,7 @@ def _suffix_rows(length: int, k: int, splitters: np.ndarray):
                 gaps = np.diff(place)
                 gaps = np.delete(gaps, (np.cumsum(n + 1) - 1)[:-1])
                 yield pa.record_batch({
-                    "bucket": (left + spread).astype(np.int32), "crossing": crossing, "doc_id": doc, "text_hash": text_hash, "word": lo - tok.first[row], "start": first,
+                    "bucket": (left + spread).astype(np.int32), "crossing": crossing, "key": key, "doc_id": doc, "text_hash": text_hash, "word": lo - tok.first[row], "start": first,
                     "words": _slabs(words, n), "gaps": K.lists(gaps.astype(np.int32), n),
                 })
 
@@ -192,6 +193,17 @@ def _sort_bucket(length: int):
         if not got:
             return
         t = pa.Table.from_batches(got)
+        del got
+        parts = 1 + sum(c.nbytes for c in t.column("words").chunks) // (4 * HELD)
+        if parts == 1:
+            yield from ordered(t)
+            return
+        part = K.mix(t.column("key").to_numpy().view(U)) % U(parts)
+        for k in range(parts):
+            if (part == k).any():
+                yield from ordered(t.filter(pa.array(part == k)))
+
+    def ordered(t: pa.Table) -> Iterator[pa.RecordBatch]:
         crossing = t.column("crossing").to_numpy()
         doc, text_hash, word, start = (t.column(c).to_numpy() for c in ("doc_id", "text_hash", "word", "start"))
         words = np.concatenate([np.frombuffer(c.buffers()[2], np.uint32)[(o := np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1])[0] // 4 : o[-1] // 4] for c in t.column("words").chunks])
@@ -298,7 +310,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 8, id_col: str =
     splitters = kept.agg(F.percentile_approx("key", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000)).first()[0] if parts > 1 else []
     splitters = np.array(sorted(splitters or []), np.int64)
     places = kept.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
-    suffixes = texts.join(places, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "places").mapInArrow(_suffix_rows(length, k, splitters), "bucket int, crossing boolean, doc_id long, text_hash long, word long, start long, words binary, gaps array<int>")
+    suffixes = texts.join(places, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "places").mapInArrow(_suffix_rows(length, k, splitters), "bucket int, crossing boolean, key long, doc_id long, text_hash long, word long, start long, words binary, gaps array<int>")
     # equal splitters leave buckets between them for the keys that cross
     found = cut(suffixes.repartitionById(parts, F.col("bucket")).mapInArrow(_sort_bucket(length), _SPANS + ", whole long"))
     del suffixes

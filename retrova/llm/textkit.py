@@ -19,7 +19,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
