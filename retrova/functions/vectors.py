@@ -91,7 +91,7 @@ def through_f16(v: Column) -> Column:
 
 def planes(tables: int, bits: int, dim: int, seed: int = 17) -> np.ndarray:
     """Unit normals (tables, bits, dim) of the hyperplanes, the same for a seed on any machine."""
-    i = np.arange(tables * bits * dim, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+    i = np.arange(tables * bits * dim, dtype=np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
     for shift, k in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         i = (i ^ (i >> np.uint64(shift))) * np.uint64(k)
     i ^= i >> np.uint64(31)
