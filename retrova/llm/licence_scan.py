@@ -155,9 +155,11 @@ def train(background: list[str], seed: int = 17, false_rate: float = 0.001, ridg
     buf, offs = K.utf8(pa.array(texts, pa.string()))
     r, h = features(buf, offs)
     keys, inv = np.unique(h, return_inverse=True)
+    # only n-grams of the templates count: what is around them says nothing, and long prose holds much of it
+    own = np.unique(features(*K.utf8(pa.array([t for _, _, t in licences.templates()], pa.string())))[1])
     named = np.zeros(len(keys), np.int64)
     np.add.at(named, inv, y[r] > 0)
-    picked = np.flatnonzero(named >= 4)
+    picked = np.flatnonzero((named >= 4) & np.isin(keys, own))
     column = np.full(len(keys), -1)
     column[picked] = np.arange(len(picked))
     c = column[inv]

@@ -102,7 +102,8 @@ def mixed(docs: DataFrame, sources: dict[str, Column], weights: dict[str, float]
 
     A text without words, or a null one, has no tokens: it comes as often as its
     pattern's documents do, but for the seeded extra copy. Rows equal in doc_id and
-    text, null or not, are treated alike. No rows: none. All columns of `docs` stay.
+    text, null or not, are treated alike. No rows: none. All columns of `docs` stay,
+    but for those that have a name of an added one, which are replaced.
     """
     if others not in ("keep", "drop"):
         raise ValueError("others must be keep or drop")
@@ -130,7 +131,7 @@ def mixed(docs: DataFrame, sources: dict[str, Column], weights: dict[str, float]
         times = F.when(F.col("_pattern") == p, whole).otherwise(times)
         until = F.when(F.col("_pattern") == p, place).otherwise(until)
     copies = times + (F.col("_draw") < until).cast("int")
-    return each.withColumn("_copies", copies).where("_copies > 0").select(*docs.columns, "_pattern", "_tokens", "_copies")
+    return each.withColumn("_copies", copies).where("_copies > 0").select(*[c for c in docs.columns if c not in ("_pattern", "_tokens", "_draw", "_copies")], "_pattern", "_tokens", "_copies")
 
 
 def _place(tokens: list[int], want: float) -> int:

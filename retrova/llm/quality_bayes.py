@@ -206,26 +206,33 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+_ADDED = ("_host", "_path", "_evidence", "_path_rate", "_host_rate", "_global", "_quality")
+
+
 def classify(docs: DataFrame, model: Model, host: Column | None = None, path: Column | None = None, text_col: str = "text") -> DataFrame:
     """The documents with `_evidence` (log odds), `_path_rate`, `_host_rate` and `_quality` (posterior) added.
 
     host and path default to `source` and `lang`. A null host or path is a value of
     its own; a null text is scored as an empty one. Repeated rows each count. An
     empty table gives an empty one. Very long texts are scored whole. All columns of
-    `docs` stay; names with a leading underscore as above must not be among them.
+    `docs` stay, but for those that have a name of an added one, which are replaced.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
+    host, path = host.alias("_host"), path.alias("_path")
+    kept = [c for c in docs.columns if c not in _ADDED]
+    docs = docs.select(*kept, host, path)
     keys = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
-    scored = docs.withColumns({"_host": keys(host), "_path": keys(path), "_evidence": _scored(model, text_col)})
+    scored = docs.withColumns({"_host": keys(F.col("_host")), "_path": keys(F.col("_path")), "_evidence": _scored(model, text_col)})
     rates = cut(posterior_rates(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), (1 / (1 + F.exp(-F.col("_evidence")))).alias("p"))))
     rates = rates.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("path_rate").alias("_path_rate"), F.col("host_rate").alias("_host_rate"), F.col("global_rate").alias("_global"))
     out = scored.join(rates, ["_host", "_path"])
     total = F.col("_evidence") + _logit(F.col("_path_rate")) - _logit(F.col("_global"))
-    return out.withColumn("_quality", 1 / (1 + F.exp(-total))).select(*docs.columns, "_evidence", "_path_rate", "_host_rate", "_quality")
+    return out.withColumn("_quality", 1 / (1 + F.exp(-total))).select(*kept, "_evidence", "_path_rate", "_host_rate", "_quality")
 
 
-def keep_good(docs: DataFrame, model: Model, threshold: float = 0.6, **how) -> DataFrame:
-    """The documents whose posterior is `threshold` or more, with their own columns. Documents with a null text are rejected."""
-    text = how.get("text_col", "text")
-    return classify(docs, model, **how).where((F.col("_quality") >= threshold) & F.col(text).isNotNull()).select(*docs.columns)
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.6, host: Column | None = None, path: Column | None = None, text_col: str = "text") -> DataFrame:
+    """The documents whose posterior is `threshold` or more, with their own columns, whatever their names. Documents with a null text are rejected."""
+    host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
+    packed = docs.select(F.struct(*docs.columns).alias("row"), host.alias("host"), path.alias("path"), F.col(text_col).alias("text"))
+    return classify(packed, model, F.col("host"), F.col("path")).where((F.col("_quality") >= threshold) & F.col("text").isNotNull()).select("row.*")

@@ -43,8 +43,9 @@ def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Languages and long documents to their weights; a document that comes twice is two rows."""
-    chosen = mixed(docs, sources(), WEIGHTS, epochs=EPOCHS, seed=17)
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang")
+    chosen = mixed(packed, sources(), WEIGHTS, epochs=EPOCHS, seed=17)
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -328,22 +328,23 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 8, id_col: str =
 
 
 def strip_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without the spans' characters, all other columns kept; texts without words left go.
+    """The documents without the spans' characters, all other columns kept, whatever their names; texts without words left go.
 
     n_chars, if there, is set anew. Rows that no span names, null ones among them,
     stay as they are.
     """
     cuts = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
     cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_cuts")
-    joined = docs.join(cuts, (docs[id_col] == F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left")
-    text, cut_ = F.col(text_col), F.col("_cuts")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("_hash"))
+    text, cut_ = F.col("text"), F.col("_cuts")
     step = F.aggregate(
         cut_, F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at")),
         lambda s, c: F.struct(F.concat(s["t"], F.substring(text, (s["at"] + 1).cast("int"), (c["start"] - s["at"]).cast("int"))).alias("t"), c["end"].alias("at")),
         lambda s: F.concat(s["t"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
     )
-    out = joined.withColumn(text_col, F.when(cut_.isNull(), text).otherwise(step))
-    out = out.where(cut_.isNull() | F.col(text_col).rlike(r"[^ \t\n\x0B\f\r]"))
+    out = packed.join(cuts, ["_id", "_hash"], "left").withColumn("left", F.when(cut_.isNotNull(), step))
+    out = out.where(cut_.isNull() | F.col("left").rlike(r"[^ \t\n\x0B\f\r]"))
+    row = F.col("row").withField(text_col, F.col("left"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut_.isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.length("left").cast(docs.schema["n_chars"].dataType))
+    return out.select(F.when(cut_.isNull(), F.col("row")).otherwise(row).alias("row")).select("row.*")
