@@ -107,13 +107,19 @@ class Model:
         return np.clip(out, -30, 30)
 
 
-def train(texts: list[str], good: np.ndarray, max_words: int = 300, ridge: float = 0.3, steps: int = 25) -> Model:
+def train(texts: list[str] | pa.ChunkedArray, good: np.ndarray, max_words: int = 300, ridge: float = 0.3, steps: int = 25) -> Model:
     """Ridge logistic regression by Newton steps; words chosen by their chi-squared with the label."""
-    buf, offs = K.utf8(pa.array(texts, pa.string()))
     y = np.asarray(good, float)
-    tok = words(buf, offs)
-    r, h = presence(tok.rows(), tok.hash)
-    s = shapes(buf, offs, tok)
+    r, h, s, done = [], [], [], 0
+    for piece in K.slices(pa.record_batch({"text": texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.string())})):
+        buf, offs = K.utf8(piece.column(0))
+        tok = words(buf, offs)
+        rows, hashes = presence(tok.rows(), tok.hash)
+        r.append(rows + done)
+        h.append(hashes)
+        s.append(shapes(buf, offs, tok))
+        done += piece.num_rows
+    r, h, s = np.concatenate(r), np.concatenate(h), np.concatenate(s)
     mean, scale = s.mean(0), s.std(0) + 1e-6
     s = np.clip((s - mean) / scale, -8, 8)
     keys, inv, df = np.unique(h, return_inverse=True, return_counts=True)
@@ -156,10 +162,10 @@ def train_on(docs: DataFrame, labels: DataFrame, good: Column, max_train: int =
     picked = labels.select("doc_id", good.cast("int").alias("good")).dropna().groupBy("doc_id").agg(F.min("good").alias("good"))
     picked = picked.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_train)
     sample = docs.select("doc_id", "text").dropna().join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("good").alias("good"))  # max_train rows at most
-    sample = sample.toPandas().sort_values("doc_id")
-    if sample.empty:
+    sample = sample.toArrow().sort_by("doc_id")
+    if not sample.num_rows:
         return Model(np.zeros(0, U), np.zeros(0), np.zeros(SHAPES), np.ones(SHAPES), np.zeros(SHAPES), 0.0)
-    return train(sample["text"].tolist(), sample["good"].to_numpy())
+    return train(sample["text"], sample["good"].to_numpy())
 
 
 def _scored(model: Model, text: str) -> Column:
