@@ -11,8 +11,8 @@
    against the global one.
 
 Texts are read once for the aggregation and once for the result; what is shuffled
-is one row a path and, for the result, nothing unless the paths' rates are more
-than Spark broadcasts.
+is one row a path and, for the result, nothing unless there are more than
+BROADCAST_PATHS paths.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from .jobs import cut
 
 U = np.uint64
 SHAPES = 9
+#: Rates of up to so many paths (some 100 bytes each) are broadcast.
+BROADCAST_PATHS = 200_000
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER = np.zeros(256, bool)
@@ -232,6 +234,8 @@ def classify(docs: DataFrame, model: Model, host: Column | None = None, path: Co
     scored = docs.withColumns({"_host": keys(F.col("_host")), "_path": keys(F.col("_path")), "_evidence": _scored(model, text_col)})
     rates = cut(posterior_rates(scored.select(F.col("_host").alias("host"), F.col("_path").alias("path"), (1 / (1 + F.exp(-F.col("_evidence")))).alias("p"))))
     rates = rates.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("path_rate").alias("_path_rate"), F.col("host_rate").alias("_host_rate"), F.col("global_rate").alias("_global"))
+    if rates.count() <= BROADCAST_PATHS:  # else texts and rates meet by a shuffle
+        rates = F.broadcast(rates)
     out = scored.join(rates, ["_host", "_path"])
     total = F.col("_evidence") + _logit(F.col("_path_rate")) - _logit(F.col("_global"))
     return out.withColumn("_quality", 1 / (1 + F.exp(-total))).select(*kept, "_evidence", "_path_rate", "_host_rate", "_quality")

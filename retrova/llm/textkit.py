@@ -8,6 +8,7 @@ runs per character or per token.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,10 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
 CHUNK_BYTES = 1 << 20
 
+_libc = ctypes.CDLL(None)
+if hasattr(_libc, "mallopt"):
+    _libc.mallopt(-3, 1 << 20)  # arrays of 1 MB or more go back to the system as soon as they are freed
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -75,6 +80,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 class Tokens:
