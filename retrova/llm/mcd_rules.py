@@ -32,8 +32,9 @@ from .quality_bayes import _DIGIT, _LETTER, _MARK, _PLAIN, _UPPER, _sums, words
 
 STATS = ("log_words", "odd_marks", "plain_marks", "capitals", "digits", "repeats", "word_length", "line_ends")
 P = len(STATS)
-#: Spread below which a statistic's differences mean nothing, in the transformed scale.
-FLOOR = np.array([2.0, 0.1, 0.1, 0.1, 0.15, 0.1, 0.1, 0.1])
+#: Least spread of a statistic, in the transformed scale; a larger one stays as it is. Odd marks and digits, which
+#: most texts lack, have that of one character in 400.
+FLOOR = np.array([0.1, 0.05, 0.01, 0.01, 0.05, 0.01, 0.01, 0.01])
 BINS = 16  # bins of a distance's doubling
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
@@ -72,19 +73,23 @@ def chi2_quantile(p: float, df: int) -> float:
     return df * (1 - 2 / (9 * df) + z * math.sqrt(2 / (9 * df))) ** 3
 
 
-def _whitening(cov: np.ndarray) -> tuple[np.ndarray, float]:
-    """The lower inverse Cholesky factor of a covariance no thinner than FLOOR, and its log determinant."""
-    c = cov + np.diag(FLOOR**2)
-    low = np.linalg.cholesky(c)
-    return np.linalg.inv(low), float(2 * np.log(np.diag(low)).sum())
+def _whitening(cov: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """The lower inverse Cholesky factor of a covariance, its log determinant, and the mean squared distance it leaves.
+
+    In units of FLOOR, eigenvalues under 1 are raised to 1 and others left; the mean is P less what the raised ones lack.
+    """
+    w, v = np.linalg.eigh(cov / np.outer(FLOOR, FLOOR))
+    raised = np.maximum(w, 1)
+    low = np.linalg.cholesky(((v * raised) @ v.T) * np.outer(FLOOR, FLOOR))
+    return np.linalg.inv(low), float(2 * np.log(np.diag(low)).sum()), float((np.maximum(w, 0) / raised).sum())
 
 
-_ESTIMATE = "grp string, start int, n double, logdet double, half double, mean array<double>, white array<double>"
+_ESTIMATE = "grp string, start int, n double, logdet double, df double, half double, mean array<double>, white array<double>"
 
 
 def _row(grp, start, n, half, mean, cov) -> dict:
-    white, logdet = _whitening(cov)
-    return {"grp": grp, "start": start, "n": n, "logdet": logdet, "half": half, "mean": mean.tolist(), "white": white[np.tril_indices(P)].tolist()}
+    white, logdet, df = _whitening(cov)
+    return {"grp": grp, "start": start, "n": n, "logdet": logdet, "df": df, "half": half, "mean": mean.tolist(), "white": white[np.tril_indices(P)].tolist()}
 
 
 def _concentrate(h: float):
@@ -126,7 +131,7 @@ def _first(rows: DataFrame) -> DataFrame:
     middle = rows.groupBy("grp").agg(*[F.percentile_approx(f"x{k}", 0.5, 1000).alias(f"m{k}") for k in range(P)])
     with_m = rows.join(middle, "grp")
     spread = with_m.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(f"x{k}") - F.col(f"m{k}")), 0.5, 1000).alias(f"d{k}") for k in range(P)])
-    scaled = [(F.col(f"x{k}") - F.col(f"m{k}")) / (1.4826 * F.col(f"d{k}") + float(FLOOR[k])) for k in range(P)]
+    scaled = [(F.col(f"x{k}") - F.col(f"m{k}")) / F.greatest(1.4826 * F.col(f"d{k}"), F.lit(float(FLOOR[k]))) for k in range(P)]
     norm = F.greatest(F.sqrt(sum((z * z for z in scaled), F.lit(0.0))), F.lit(1e-9))
     signs = with_m.join(spread, "grp").groupBy("grp").agg(*[F.avg(scaled[i] * scaled[j] / (norm * norm)).alias(f"q{i}_{j}") for i, j in _PAIRS], *[F.first(f"m{k}").alias(f"m{k}") for k in range(P)], *[F.first(f"d{k}").alias(f"d{k}") for k in range(P)], F.count(F.lit(1)).cast("double").alias("n"))
 
@@ -135,13 +140,13 @@ def _first(rows: DataFrame) -> DataFrame:
             out = []
             for r in b.to_dict("records"):
                 mean = np.array([r[f"m{k}"] for k in range(P)])
-                sd = 1.4826 * np.array([r[f"d{k}"] for k in range(P)])
+                sd = np.maximum(1.4826 * np.array([r[f"d{k}"] for k in range(P)]), FLOOR)
                 out.append(_row(r["grp"], 0, r["n"], float("nan"), mean, np.diag(sd**2)))
                 s = np.zeros((P, P))
                 for i, j in _PAIRS:
                     s[i, j] = s[j, i] = r[f"q{i}_{j}"]
                 out.append(_row(r["grp"], 1, r["n"], float("nan"), mean, s * P * np.outer(sd, sd)))
-            yield pd.DataFrame(out, columns=["grp", "start", "n", "logdet", "half", "mean", "white"])
+            yield pd.DataFrame(out, columns=["grp", "start", "n", "logdet", "df", "half", "mean", "white"])
 
     return signs.mapInPandas(starts, _ESTIMATE)
 
@@ -155,8 +160,9 @@ def _levels(lang: str, source: str) -> Column:
 def robust_distances(docs: DataFrame, h: float = 0.75, steps: int = 4, least: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(doc_id, lang, source, distance, level, x0..) of the documents with a text.
 
-    `distance` is the Mahalanobis distance squared, scaled down where its group's
-    median is over that of the chi-squared distribution; `level` tells the group: 2 for language
+    `distance` is the Mahalanobis distance squared, scaled up or down so that its group's
+    median is that of the chi-squared distribution with the degrees of freedom that FLOOR
+    leaves (up twofold at most: groups of mostly equal texts have a median of 0); `level` tells the group: 2 for language
     and source, 1 language, 0 all. Null languages and sources are values of their
     own. A null text is left out; an empty one is a vector like others; a null
     doc_id stays. Repeated rows each count. Very long texts count whole. No rows: none.
@@ -171,7 +177,7 @@ def robust_distances(docs: DataFrame, h: float = 0.75, steps: int = 4, least: in
         binned = spread.join(estimate.select("grp", "start", "mean", "white"), "grp").withColumn("bin", F.floor(F.log2(d) * BINS).cast("int"))
         sums = binned.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f"x{k}").alias(f"s{k}") for k in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in _PAIRS])
         estimate = cut(sums.groupBy("grp", "start").applyInPandas(_concentrate(h), _ESTIMATE))
-    best = estimate.groupBy("grp").agg(F.min_by(F.struct("n", "mean", "white"), F.struct("logdet", "start")).alias("e")).select("grp", "e.*")
+    best = estimate.groupBy("grp").agg(F.min_by(F.struct("n", "df", "mean", "white"), F.struct("logdet", "start")).alias("e")).select("grp", "e.*")
     # the medians of the final estimates' distances
     ranked = spread.join(best.select("grp", "mean", "white"), "grp").select("grp", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-12))) * BINS * 4).alias("bin"))
     counted = ranked.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("c"))
@@ -179,15 +185,17 @@ def robust_distances(docs: DataFrame, h: float = 0.75, steps: int = 4, least: in
 
     up = F.sum("c").over(Window.partitionBy("grp").orderBy("bin")) >= F.sum("c").over(Window.partitionBy("grp")) / 2
     middle = counted.withColumn("up", up).where("up").groupBy("grp").agg(F.min("bin").alias("bin")).select("grp", F.pow(F.lit(2.0), (F.col("bin") + 0.5) / (BINS * 4)).alias("median"))
-    final = cut(best.where((F.col("n") >= least) | (F.col("grp") == "0")).join(middle, "grp"))
+    df = F.greatest(F.lit(1.0), F.col("df"))
+    scale = F.greatest(F.lit(0.5), F.col("median") / (df * F.pow(1 - 2 / (9 * df), F.lit(3))))
+    final = cut(best.where((F.col("n") >= least) | (F.col("grp") == "0")).join(middle, "grp").withColumn("scale", scale))
     out = named
     for k, level in enumerate((2, 1, 0)):
-        mine = final.where(F.col("grp").startswith(str(level))).select(F.col("grp").alias(f"g{level}"), F.struct("mean", "white", "median").alias(f"e{level}"))
+        mine = final.where(F.col("grp").startswith(str(level))).select(F.col("grp").alias(f"g{level}"), F.struct("mean", "white", "scale").alias(f"e{level}"))
         out = out.withColumn(f"g{level}", F.col("_grp")[k]).join(mine, f"g{level}", "left")
     chosen = F.coalesce("e2", "e1", "e0")
     level = F.when(F.col("e2").isNotNull(), 2).when(F.col("e1").isNotNull(), 1).otherwise(0)
     out = out.withColumn("_level", level).withColumn("_e", chosen).select("doc_id", "lang", "source", F.col("_level").alias("level"), "_e.*", *[f"x{k}" for k in range(P)])
-    return out.select("doc_id", "lang", "source", "level", (_distance() / F.greatest(F.lit(1.0), F.col("median") / chi2_quantile(0.5, P))).alias("distance"), *[F.col(f"x{k}").alias(STATS[k]) for k in range(P)])
+    return out.select("doc_id", "lang", "source", "level", (_distance() / F.col("scale")).alias("distance"), *[F.col(f"x{k}").alias(STATS[k]) for k in range(P)])
 
 
 def within(distances: DataFrame, quantile: float = 0.9999) -> DataFrame:

@@ -310,6 +310,20 @@ def test_robust_outliers(spark, awkward, empty):
     assert mcd_rules.robust_distances(empty).count() == 0
 
 
+def test_outliers_are_judged_by_the_core_and_not_by_the_floor(spark):
+    """A covariance over the floor stays as it is, and texts stuffed with odd marks are beyond the cut."""
+    root = np.tril(np.random.default_rng(1).normal(size=(mcd_rules.P, mcd_rules.P))) + 4 * np.eye(mcd_rules.P)
+    cov = root @ root.T * np.outer(mcd_rules.FLOOR, mcd_rules.FLOOR)
+    white = mcd_rules._whitening(cov)[0]
+    assert np.allclose(white @ cov @ white.T, np.eye(mcd_rules.P))
+    r = random.Random(12)
+    line = lambda: " ".join(r.choice(WORDS[:60]) for _ in range(12))
+    plain = [(i, ". ".join(line() for _ in range(r.randint(8, 30))), "en", "a") for i in range(600)]
+    stuffed = [(1000 + i, ". ".join(line() + " $#%^@~ $#%^" for _ in range(r.randint(8, 30))), "en", "a") for i in range(30)]
+    kept = {x["doc_id"] for x in mcd_rules.within(mcd_rules.robust_distances(docs_of(spark, plain + stuffed))).collect()}
+    assert len(kept & set(range(600))) > 590 and not kept & set(range(1000, 1030))
+
+
 # URLs
 
 
