@@ -3,11 +3,12 @@
 A text gets one space in front, is cut into units (runs of spaces with what
 follows them; a line feed is a unit of its own), and each unit's agenda of merges
 is worked off: the candidate of the best score, the leftmost of equals, is taken
-first. A keyed hash of (seed, variant, unit, candidate's bounds) skips a candidate
-with probability `dropout`; it stays skipped. An occurrence's variant is a keyed
-hash of its document and place, so that a unit is cut in up to `variants` ways
-over the corpus, and each (unit, variant) in a batch is worked off once, for all
-units together: one numpy pass takes the next merge of every agenda.
+first. A keyed hash of (seed, document, unit's place, candidate's bounds) skips a
+candidate with probability `dropout`; it stays skipped. Each occurrence of a unit so
+draws for itself. Those of a batch that draw alike share the work: one occurrence's
+agenda is worked off, the others' draws are held against its own, and those that
+differ go on in groups by the first difference. One numpy pass takes the next merge
+of all agendas.
 
 Characters outside the vocabulary, and literal U+2581, become byte pieces, so that
 decoding gives back every text.
@@ -36,6 +37,8 @@ NONE = np.int32(2**31 - 1)
 LONG = 64
 #: Bytes of text whose units are worked off together.
 PIECE = 4 << 20
+#: Draws of occurrences that are compared at a time.
+DRAWS = 1 << 20
 
 
 def default_model() -> str:
@@ -120,15 +123,23 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _skipped(unit: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
-    """Whether keyed hashes skip the candidates [start, mid) + [mid, end) of units with these keys."""
-    where = (start.astype(U) << U(42)) ^ (mid.astype(U) << U(21)) ^ end.astype(U)
-    return K.mix(unit ^ K.mix(where + U(0x51ED270B))) < U(min(int(dropout * 2**64), 2**64 - 1))
+def _where(start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the candidates [start, mid) + [mid, end)."""
+    return K.mix(((start.astype(U) << U(42)) ^ (mid.astype(U) << U(21)) ^ end.astype(U)) + U(0x51ED270B))
 
 
-def _agendas(v: Vocabulary, sym: np.ndarray, unit: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Works off the agendas of units (`unit` names each symbol's, in order; `key` is each unit's hash). Symbols and their units."""
+def _skipped(key: np.ndarray, where: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether keyed hashes skip these candidates of occurrences with these keys."""
+    return K.mix(key ^ where) < U(min(int(dropout * 2**64), 2**64 - 1))
+
+
+def _agendas(v: Vocabulary, sym: np.ndarray, unit: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Works off the agendas of units (`unit` names each symbol's, in order; `key` is each unit's hash).
+
+    Symbols, their units, and with dropout the draws in order: unit, candidate, whether skipped.
+    """
     done_s, done_u, done_p = [], [], []
+    draws: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     n = len(sym)
     first = np.ones(n, bool)
     first[1:] = unit[1:] != unit[:-1]
@@ -142,12 +153,6 @@ def _agendas(v: Vocabulary, sym: np.ndarray, unit: np.ndarray, key: np.ndarray,
         same = (at + 1 < len(sym)) & (unit[nxt] == unit[at])
         piece = np.full(len(at), -1, np.int32)
         piece[same] = v.merge(sym[at[same]], sym[nxt[same]])
-        hit = np.flatnonzero(piece >= 0)
-        if dropout > 0 and len(hit):
-            a = at[hit]
-            over = np.minimum(a + 2, len(sym) - 1)
-            stop = np.where((a + 2 < len(sym)) & (unit[over] == unit[a]), begin[over], size[unit[a]])
-            piece[hit[_skipped(key[unit[a]], begin[a], begin[a + 1], stop, dropout)]] = -1
         rank = np.full(len(at), NONE)
         good = piece >= 0
         rank[good] = v.rank[piece[good]]
@@ -169,6 +174,14 @@ def _agendas(v: Vocabulary, sym: np.ndarray, unit: np.ndarray, key: np.ndarray,
             done_p.append(begin[over])
         at = best[live] & 0xFFFFFFFF
         keep = np.repeat(live, count)
+        if dropout > 0 and len(at):
+            over = np.minimum(at + 2, len(sym) - 1)
+            stop = np.where((at + 2 < len(sym)) & (unit[over] == unit[at]), begin[over], size[unit[at]])
+            where = _where(begin[at], begin[at + 1], stop)
+            skip = _skipped(key[unit[at]], where, dropout)
+            draws.append((unit[at], where, skip))
+            rank[at[skip]], piece[at[skip]] = NONE, -1
+            at = at[~skip]
         sym[at] = piece[at]
         keep[at + 1] = False
         place = np.cumsum(keep) - 1
@@ -180,14 +193,73 @@ def _agendas(v: Vocabulary, sym: np.ndarray, unit: np.ndarray, key: np.ndarray,
         rank[fresh], piece[fresh] = candidates(fresh)
     sym, unit, begin = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_s, done_u, done_p))
     order = np.lexsort((begin, unit))
-    return sym[order].astype(np.int32), unit[order]
+    drawn = tuple(np.concatenate(x) for x in zip(*draws, strict=True)) if draws else (np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, bool))
+    by = np.argsort(drawn[0], kind="stable")
+    return sym[order].astype(np.int32), unit[order], tuple(x[by] for x in drawn)
+
+
+def _first_difference(group: np.ndarray, key: np.ndarray, groups: int, drawn: tuple[np.ndarray, np.ndarray, np.ndarray], dropout: float) -> np.ndarray:
+    """The number of each occurrence's first draw that isn't as in its group's agenda; -1 if all are."""
+    unit, where, skip = drawn
+    many = np.bincount(unit, minlength=groups)
+    start = np.cumsum(many) - many
+    out = np.full(len(group), -1, np.int64)
+    some = np.flatnonzero(many[group] > 0)
+    ends = np.cumsum(many[group[some]])
+    at = 0
+    while at < len(some):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DRAWS, side="right")))
+        rows = some[at:to]
+        size = many[group[rows]]
+        number = K.ragged(size)
+        take = np.repeat(start[group[rows]], size) + number
+        differs = _skipped(np.repeat(key[rows], size), where[take], dropout) != skip[take]
+        least = np.minimum.reduceat(np.where(differs, number, NONE), np.cumsum(size) - size)
+        out[rows] = np.where(least < NONE, least, -1)
+        at = to
+    return out
+
+
+def _cut_units(v: Vocabulary, sym: np.ndarray, unit: np.ndarray, back: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segmentations of all occurrences (`back` names each one's unit, `key` its draws).
+
+    The symbols of the distinct segmentations on end, each segmentation's length, and which one each occurrence has.
+    """
+    count = np.bincount(unit)
+    begin = np.cumsum(count) - count
+    which = np.zeros(len(back), np.int64)
+    symbols, lengths, made = [], [], 0
+    long_ = count[back] > LONG
+    for i in np.flatnonzero(long_):
+        u = back[i]
+        got = np.array([g[0] for g in _long_agenda(v, sym[begin[u] : begin[u] + count[u]].tolist(), int(key[i]), dropout)], np.int32)
+        symbols.append(got)
+        lengths.append(np.array([len(got)]))
+        which[i] = made
+        made += 1
+    left = np.flatnonzero(~long_)
+    group = back[left]
+    while len(left):
+        _, lead, group = np.unique(group, return_index=True, return_inverse=True)
+        of = back[left[lead]]
+        size = count[of]
+        out_s, out_u, drawn = _agendas(v, sym[np.repeat(begin[of], size) + K.ragged(size)], np.repeat(np.arange(len(of)), size), key[left[lead]], dropout)
+        symbols.append(out_s)
+        lengths.append(np.bincount(out_u, minlength=len(of)))
+        which[left] = made + group
+        made += len(of)
+        if not dropout:
+            break
+        differs = _first_difference(group, key[left], len(of), drawn, dropout)
+        go = np.flatnonzero(differs >= 0)
+        left, group = left[go], (group[go] << 32) | differs[go]
+    return np.concatenate(symbols), np.concatenate(lengths), which
 
 
 def _long_agenda(v: Vocabulary, sym: list[int], key: int, dropout: float) -> list[tuple[int, int]]:
     """One unit's agenda as a heap: (symbol, first symbol's place) of the outcome."""
     n = len(sym)
     after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    bound = min(int(dropout * 2**64), 2**64 - 1)
     heap: list[tuple[int, int, int, int, int]] = []
 
     def offer(pairs: list[tuple[int, int]]) -> None:
@@ -197,7 +269,7 @@ def _long_agenda(v: Vocabulary, sym: list[int], key: int, dropout: float) -> lis
         sa, sb = np.array([sym[p] for p in a], np.int32), np.array([sym[p] for p in b], np.int32)
         m = v.merge(sa, sb)
         stop = np.array([end[p] for p in b])
-        skip = _skipped(np.full(len(a), key, U), a, b, stop, dropout) if bound else np.zeros(len(a), bool)
+        skip = _skipped(np.full(len(a), key, U), _where(a, b, stop), dropout) if dropout else np.zeros(len(a), bool)
         for i in np.flatnonzero((m >= 0) & ~skip):
             heapq.heappush(heap, (int(v.rank[m[i]]), int(a[i]), int(b[i]), int(m[i]), int(stop[i])))
 
@@ -231,8 +303,8 @@ def _symbols(v: Vocabulary, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarr
     return sym, row, size
 
 
-def encode(v: Vocabulary, buf: np.ndarray, offs: np.ndarray, who: np.ndarray, dropout: float = 0.1, seed: int = 0, variants: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of all rows on end, and how many each has. `who`: each row's key, by which its units' variants are drawn."""
+def encode(v: Vocabulary, buf: np.ndarray, offs: np.ndarray, who: np.ndarray, dropout: float = 0.1, seed: int = 0, variants: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all rows on end, and how many each has. `who`: each row's key, by which its units' merges are drawn."""
     rows = len(offs) - 1
     size = np.diff(offs)
     lead = size > 0
@@ -254,28 +326,20 @@ def encode(v: Vocabulary, buf: np.ndarray, offs: np.ndarray, who: np.ndarray, dr
     name = K.mix((sums[end] - sums[start]) * K._pow_table(pow(K._BASE, -1, 1 << 64), n)[start] + (end - start).astype(U))
     row = np.searchsorted(new, start, side="right") - 1
     key = K.mix(name ^ U(seed * 0x2545F4914F6CDD1D % 2**64))
-    if dropout > 0 and variants > 1:
+    if dropout > 0 and variants != 1:
         nth = np.arange(len(start)) - np.searchsorted(start, new[:-1])[row]
-        key = K.mix(key + K.mix(who[row] ^ K.mix(nth.astype(U) + U(seed % 2**63))) % U(variants))
-    key, at, back = np.unique(key, return_index=True, return_inverse=True)
+        place = K.mix(who[row] ^ K.mix(nth.astype(U) + U(seed % 2**63)))
+        key = K.mix(key + (place % U(variants) if variants else place))
+    _, at, back = np.unique(name, return_index=True, return_inverse=True)
     # the distinct units' bytes on end
     width = (end - start)[at]
     at = np.repeat(start[at], width) + K.ragged(width)
     own = text[at]
-    bounds = np.zeros(len(key) + 1, np.int64)
+    bounds = np.zeros(len(width) + 1, np.int64)
     np.cumsum(width, out=bounds[1:])
     sym, unit, chars = _symbols(v, own, bounds)
-    count = np.bincount(unit, minlength=len(key))
-    long_ = count > LONG
-    short = ~long_[unit]
-    out_s, out_u = _agendas(v, sym[short], unit[short], key, dropout)
-    for u in np.flatnonzero(long_):
-        got = _long_agenda(v, sym[np.searchsorted(unit, u) : np.searchsorted(unit, u, side="right")].tolist(), int(key[u]), dropout)
-        out_s = np.concatenate([out_s, np.array([g[0] for g in got], out_s.dtype)])
-        out_u = np.concatenate([out_u, np.full(len(got), u)])
-    if long_.any():
-        order = np.argsort(out_u, kind="stable")
-        out_s, out_u = out_s[order], out_u[order]
+    out_s, per, which = _cut_units(v, sym, unit, back, key, dropout)
+    out_u = np.repeat(np.arange(len(per)), per)
     # others than pieces become bytes
     other = np.flatnonzero(out_s < 0)
     many = np.ones(len(out_s), np.int64)
@@ -290,10 +354,10 @@ def encode(v: Vocabulary, buf: np.ndarray, offs: np.ndarray, who: np.ndarray, dr
         spread[is_other] = v.byte[own[-1 - spread[is_other] + K.ragged(many)[is_other]]]
         out_u = np.repeat(out_u, many)
         out_s = spread
-    per = np.bincount(out_u, minlength=len(key))
+    per = np.bincount(out_u, minlength=len(per))
     first = np.cumsum(per) - per
-    take = per[back]
-    ids = out_s[np.repeat(first[back], take) + K.ragged(take)].astype(np.int32)
+    take = per[which]
+    ids = out_s[np.repeat(first[which], take) + K.ragged(take)].astype(np.int32)
     return ids, np.bincount(row, weights=take, minlength=rows).astype(np.int64)
 
 
@@ -314,7 +378,7 @@ def decode(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarr
     return buf[keep], offs
 
 
-def _encoded(path: str, dropout: float, seed: int, variants: int):
+def _encoded(path: str, dropout: float, seed: int, variants: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
@@ -332,17 +396,18 @@ def _encoded(path: str, dropout: float, seed: int, variants: int):
     return run
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, lossless) of each document; `lossless` tells that the ids decode to the text.
 
     dropout 0 gives the model's own encoding (but for literal U+2581, which becomes
     bytes here). The same seed, doc_id and text give the same ids in any job.
+    Occurrences of a unit draw independently; with `variants` they share so many draws.
 
     An empty text has no ids. Rows with a null doc_id or text are left out. Repeated
     rows each give one, equal ones. Very long texts and units are encoded whole.
     No rows: none. Other columns are not read.
     """
-    if not 0 <= dropout < 1 or variants < 1:
+    if not 0 <= dropout < 1 or (variants is not None and variants < 1):
         raise ValueError("dropout must be in [0, 1), variants 1 or more")
     return usable(docs, id_col, text_col).mapInArrow(_encoded(path or default_model(), dropout, seed, variants), "doc_id long, n_tokens long, ids array<int>, lossless boolean")
 

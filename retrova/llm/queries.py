@@ -81,7 +81,7 @@ def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), dropout=0.1, seed=17, variants=8)
+    return encode_documents(table(spark, sf_dir, "documents"), dropout=0.1, seed=17)
 
 
 def op7_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,4 +50,4 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, lossless) of each row."""
-    return encode_documents(docs, dropout=0.1, seed=17, variants=8)
+    return encode_documents(docs, dropout=0.1, seed=17)

@@ -219,6 +219,20 @@ def test_merge_dropout(spark, awkward, empty):
     assert merge_dropout.encode_documents(empty).count() == 0
 
 
+def test_merge_dropout_draws_for_each_occurrence():
+    """Occurrences of a word are cut as the agenda worked off for each alone, and a single merge is skipped at the rate of dropout."""
+    v = merge_dropout.vocabulary(merge_dropout.default_model())
+    of = lambda text, n, key=0, **more: merge_dropout.encode(v, np.frombuffer(text.encode() * n, np.uint8), np.arange(n + 1) * len(text), K.mix(np.arange(key, key + n).astype(np.uint64)), **more)
+    ids, counts = of("internationalisation", 4000, dropout=0.3, seed=1)
+    rows = [tuple(x) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert len(set(rows)) > 200
+    assert all(tuple(of("internationalisation", 1, i, dropout=0.3, seed=1)[0]) == rows[i] for i in range(100))
+    # a letter and the space before it have one merge
+    one = next(w for w in "abcdefghijklmnopqrstuvwxyz" if of(w, 1, dropout=0)[1][0] == 1)
+    _, counts = of(one, 20_000, dropout=0.1, seed=3)
+    assert abs((counts == 2).mean() - 0.1) < 0.01
+
+
 TEXTS = ["The quick brown fox  jumps.\nOver lazy dogs, naïvely: 日本語 😀", "a", "don't   stop", "Über allen Gipfeln ist Ruh'", "x" * 200]
 
 
