@@ -28,10 +28,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group of alike documents; rows with a null doc_id stay."""
-    gone = near_groups(docs, n=3, threshold=(1, 2)).select("doc_id")
+    """Keeps the least doc_id of each group of alike documents.
+
+    Of equal rows (same doc_id and text) one stays. The texts of a doc_id that has several
+    are documents of their own, in the order of their hashes, so one that is like a lesser
+    document's goes and the others stay. Texts with a null doc_id are documents too, after
+    all others. Texts that are null or without words are like no other.
+    """
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        gone = near_groups(docs, n=3, threshold=(1, 2)).select("doc_id")
+        release(spark)
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text", F.isnull("text")).alias("hash"), "text")
+    keys = packed.select("id", "hash").distinct().orderBy(F.asc_nulls_last("id"), "hash")
+    numbers = cut(keys.select(F.col("id").alias("id_"), F.col("hash").alias("hash_"), F.monotonically_increasing_id().alias("number")))
+    single = packed.dropDuplicates(["id", "hash"])
+    rows = cut(single.join(numbers, F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_"))).select("row", "text", "number"))
+    gone = near_groups(rows, n=3, threshold=(1, 2), id_col="number").select(F.col("doc_id").alias("number"))
     release(spark)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(gone, "number", "left_anti").select("row.*")
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

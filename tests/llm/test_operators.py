@@ -444,3 +444,13 @@ def test_stages_on_awkward_rows(spark, awkward, empty):
     for stage in (stages.near_duplicates, stages.suffixes, stages.mix):
         assert stage(spark, awkward, "").columns == awkward.columns
         assert stage(spark, awkward, "").count() > 5 and stage(spark, empty, "").count() == 0
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    r = random.Random(21)
+    a, b, c, d, e = (" ".join(r.choice(WORDS) for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (None, a), (None, d), (None, d), (4, d), (7, e), (7, None), (7, None), (9, e), (None, b + " x"), (None, "")]
+    got = stages.near_duplicates(spark, docs_of(spark, [(i, t, "en", "a") for i, t in rows]), "").collect()
+    want = [(1, a), (2, b), (3, c), (4, d), (7, e), (7, None), (None, "")]
+    assert sorted(map(repr, ((x["doc_id"], x["text"]) for x in got))) == sorted(map(repr, want))
+    assert all(x["row"] == x["_hash"] == "mine" for x in got)
