@@ -26,7 +26,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that are kept, each with its evidence and posterior."""
+    """The documents that are kept, each with its evidence and posterior.
+
+    The documents have no URL: host is the column source, and path is lang, one of four languages rather than a path of a site.
+    """
     docs = table(spark, sf_dir, "documents")
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     model = train_on(docs, table(spark, sf_dir, "labels"), good, max_train=4000)
