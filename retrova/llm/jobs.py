@@ -32,8 +32,18 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input a partition of a shuffle that tasks buffer whole.
+PART_BYTES = 256 << 20
+
+
+def partitions(spark: SparkSession, docs: DataFrame | None = None) -> int:
+    """Partitions of shuffles that tasks buffer whole: the session's number, or more where the tables that `docs` reads are that large."""
+    number = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if docs is None:
+        return number
+    leaves = docs._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return max(number, sum(x for x in sizes if x < 1 << 60) // PART_BYTES)  # tables without an estimate say 2**63 - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

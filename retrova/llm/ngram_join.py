@@ -17,9 +17,14 @@ columns. Each block travels as a compact binary tile, not as one row an entry.
    full. A pair belongs to the block of the first n-gram that both sets share,
    which the block sees for itself: pairs are never shuffled.
 
+A column that more than HOT sets hold is cut into parts of sets, and each pair of
+parts is a block of its own, wherever it is worked on: how many sets hold a column
+stands in its name, so that needs no count and no join.
+
 The result is exact (hashes of 64 bits for n-grams and of 57 for columns aside). Identical sets are one row of
-the matrix; each of their documents is paired with the first, so that a group of
-m copies gives m - 1 rows and not m * (m - 1) / 2.
+the matrix, weighted by their documents. What leaves the blocks is a spanning
+forest of their pairs and each set's number of links, so that the result has one
+row a document, however large a group is.
 """
 
 from __future__ import annotations
@@ -43,6 +48,19 @@ PAIRS = 2_000_000
 TILE = 1024
 #: Earlier n-grams of the set that a posting carries.
 BEFORE = 8
+#: A column of more sets is multiplied part by part.
+HOT = 4096
+
+
+def _part(gram: np.ndarray, sid: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many parts of about `hot` sets each column has, and in which of them the set is. Its name begins with twice the binary logarithm of its sets."""
+    times = np.maximum(1, np.ceil(2.0 ** ((np.arange(64) + 1) / 2) / hot)).astype(np.int64)[gram >> 57]
+    return times, ((K.mix(sid.view(U)) >> U(11)).astype(np.int64)) % times
+
+
+def _met(part: np.ndarray, times: np.ndarray, pair: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether a block of a pair of parts is the one where the rows i and j meet."""
+    return np.minimum(part[i], part[j]) * times[i] + np.maximum(part[i], part[j]) == pair[i]
 
 
 def row_sets(piece: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,7 +271,7 @@ def _places(n: np.ndarray, weight: np.ndarray, count: np.ndarray) -> np.ndarray:
     return total[:-1] + np.repeat(n - total[end], count)
 
 
-def _prefixes(num: int, den: int):
+def _prefixes(num: int, den: int, hot: int):
     """Postings of the prefixes. Each carries the BEFORE columns before it in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,11 +283,18 @@ def _prefixes(num: int, den: int):
             count = np.diff(batch.column(3).offsets.to_numpy())
             place = _places(n, weight, count)
             take = np.flatnonzero(place <= np.repeat(n - -(-n * num // den), count))
-            at = K.ragged(count)[take]
-            out = {"gram": flat[take], "set_id": np.repeat(sid, count)[take], "size": np.repeat(n, count)[take], "place": place[take]}
-            for k in range(1, BEFORE + 1):
-                out[f"before{k}"] = np.where(at >= k, flat[np.maximum(take - k, 0)], -k)
-            yield pa.record_batch(out)
+            at, own, size = K.ragged(count)[take], np.repeat(sid, count)[take], np.repeat(n, count)[take]
+            times, part = _part(flat[take], own, hot)
+            ends, lo = np.cumsum(times), 0
+            while lo < len(take):
+                to = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + FLUSH // 8, side="right")))
+                row = np.repeat(np.arange(lo, to), times[lo:to])
+                other, here = K.ragged(times[lo:to]), take[row]
+                out = {"gram": flat[here], "pair": np.minimum(part[row], other) * times[row] + np.maximum(part[row], other), "set_id": own[row], "size": size[row], "place": place[here]}
+                for k in range(1, BEFORE + 1):
+                    out[f"before{k}"] = np.where(at[row] >= k, flat[np.maximum(here - k, 0)], -k)
+                yield pa.record_batch(out)
+                lo = to
 
     return run
 
@@ -293,8 +318,8 @@ def _pairs(group: np.ndarray, n: np.ndarray, place: np.ndarray, num: int, den: i
         lo = to
 
 
-def _multiply(num: int, den: int):
-    """Whole n-grams' postings to the sets that their blocks must compare.
+def _multiply(num: int, den: int, hot: int):
+    """Postings of a column, or of a pair of its parts, to the sets that their blocks must compare.
 
     A pair is left to an earlier n-gram if both carry one in common. The first
     n-gram that two sets share is never skipped, so each pair is met at least once.
@@ -304,11 +329,13 @@ def _multiply(num: int, den: int):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        gram, sid, n, place, *before = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(4 + BEFORE))
-        order = np.lexsort((sid, n, gram))
-        gram, sid, n, place = gram[order], sid[order], n[order], place[order]
+        gram, pair, sid, n, place, *before = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(5 + BEFORE))
+        order = np.lexsort((sid, n, pair, gram))
+        gram, pair, sid, n, place = gram[order], pair[order], sid[order], n[order], place[order]
         before = [x[order] for x in before]
-        new = np.concatenate([[True], gram[1:] != gram[:-1]])
+        times, part = _part(gram, sid, hot)
+        split = times.max() > 1
+        new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (pair[1:] != pair[:-1])])
         group, start = np.cumsum(new) - 1, np.flatnonzero(new)
         tile = (np.arange(len(gram)) - start[group]) // TILE
         tiles = np.int64(tile.max() + 1)
@@ -319,6 +346,9 @@ def _multiply(num: int, den: int):
 
         size, scale = 0, np.int64(len(gram))
         for i, j in _pairs(group, n, place, num, den):
+            if split:
+                ok = _met(part, times, pair, i, j)
+                i, j = i[ok], j[ok]
             earlier = np.zeros(len(i), bool)
             for x in before:
                 for y in before:
@@ -341,7 +371,7 @@ def _multiply(num: int, den: int):
         mine = rows[:, 0]
         for k in range(0, len(rows), 1 << 18):
             z = slice(k, k + (1 << 18))
-            yield pa.record_batch({"gram": gram[mine[z]], "tile": rows[z, 1], "side": rows[z, 2], "set_id": sid[mine[z]]})
+            yield pa.record_batch({"gram": gram[mine[z]], "pair": pair[mine[z]], "tile": rows[z, 1], "side": rows[z, 2], "set_id": sid[mine[z]]})
 
     return run
 
@@ -365,23 +395,23 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[label[rest]]
 
 
-def _accumulate(num: int, den: int, forest: bool):
+def _accumulate(num: int, den: int, pairs: bool, hot: int):
     """Whole blocks of sets to the pairs that reach the threshold; a pair counts in the block of the first n-gram that it shares.
 
-    forest: of a task's pairs, only as many come as keep its groups together.
+    pairs: they come as they are. Otherwise come the edges (0, set, set) that keep a
+    task's groups together, and the sums (1, set, documents of the sets that it is paired with).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        gram, tile, side, head, n = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(5))
-        sid = np.concatenate([b.column(7).to_numpy() for b in got])
-        flat, weight = (np.concatenate([b.column(k).flatten().to_numpy() for b in got]) for k in (5, 6))
-        count = np.concatenate([np.diff(b.column(5).offsets.to_numpy()) for b in got])
+        gram, pair, tile, side, sid, n, head, m = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(8))
+        flat, weight = (np.concatenate([b.column(k).flatten().to_numpy() for b in got]) for k in (8, 9))
+        count = np.concatenate([np.diff(b.column(8).offsets.to_numpy()) for b in got])
         start = np.cumsum(count) - count
-        order = np.lexsort((sid, n, tile, gram))
-        gram, tile, side, head, n, count, start = (x[order] for x in (gram, tile, side, head, n, count, start))
+        order = np.lexsort((sid, n, tile, pair, gram))
+        gram, pair, tile, side, sid, head, m, n, count, start = (x[order] for x in (gram, pair, tile, side, sid, head, m, n, count, start))
         at = np.repeat(start, count) + K.ragged(count)
         flat, weight = flat[at], weight[at]
         start = np.cumsum(count) - count
@@ -390,10 +420,15 @@ def _accumulate(num: int, den: int, forest: bool):
         cells = np.repeat(np.arange(len(n)), count) * width + cell  # sorted, as rows and their n-grams are
         mine = np.searchsorted(names, gram)
         place = _places(n, weight, count)[np.searchsorted(cells, np.arange(len(n)) * width + mine)]
-        group = np.cumsum(np.concatenate([[0], (gram[1:] != gram[:-1]) | (tile[1:] != tile[:-1])]))
+        times, part = _part(gram, sid, hot)
+        split = times.max() > 1
+        group = np.cumsum(np.concatenate([[0], (gram[1:] != gram[:-1]) | (pair[1:] != pair[:-1]) | (tile[1:] != tile[:-1])]))
         edges: list[tuple[np.ndarray, np.ndarray]] = []
+        links = np.zeros(len(n), np.int64)
         for i, j in _pairs(group, n, place, num, den):
             ok = (side[i] == 2) | ((side[i] == 0) & (side[j] == 1))
+            if split:
+                ok &= _met(part, times, pair, i, j)
             i, j = i[ok], j[ok]
             few, many = np.where(count[i] <= count[j], i, j), np.where(count[i] <= count[j], j, i)
             ends, lo = np.cumsum(count[few]), 0
@@ -409,28 +444,37 @@ def _accumulate(num: int, den: int, forest: bool):
                 e = np.cumsum(c)
                 overlap, earlier = ((s := np.concatenate([[0], np.cumsum(v)]))[e] - s[e - c] for v in (hit * weight[at], earlier))
                 a, b = i[z], j[z]
-                ok = (earlier == 0) & (overlap * (num + den) >= num * (n[a] + n[b])) & (head[a] != head[b])
+                ok = (earlier == 0) & (overlap * (num + den) >= num * (n[a] + n[b]))
                 a, b, overlap = a[ok], b[ok], overlap[ok]
-                a, b = np.where(head[a] < head[b], a, b), np.where(head[a] < head[b], b, a)
-                if forest:
-                    edges.append(roots(head[a], head[b]))
-                else:
+                if pairs:
+                    ok = head[a] != head[b]
+                    a, b, overlap = a[ok], b[ok], overlap[ok]
+                    a, b = np.where(head[a] < head[b], a, b), np.where(head[a] < head[b], b, a)
                     yield pa.record_batch({"doc_a": head[a], "doc_b": head[b], "overlap": overlap, "size_a": n[a], "size_b": n[b]})
+                else:
+                    edges.append(roots(sid[a], sid[b]))
+                    np.add.at(links, a, m[b])
+                    np.add.at(links, b, m[a])
                 lo = to
         if edges:
             node, root = roots(*(np.concatenate([e[k] for e in edges]) for k in range(2)))
-            none = np.zeros(len(node), np.int64)
-            yield pa.record_batch({"doc_a": root, "doc_b": node, "overlap": none, "size_a": none, "size_b": none})
+            yield pa.record_batch({"kind": np.zeros(len(node), np.int64), "a": node, "b": root})
+            some = np.flatnonzero(links)
+            own, back = np.unique(sid[some], return_inverse=True)
+            total = np.zeros(len(own), np.int64)
+            np.add.at(total, back, links[some])
+            yield pa.record_batch({"kind": np.ones(len(own), np.int64), "a": own, "b": total})
 
     return run
 
 
-def _alike(docs: DataFrame, n: int, threshold: tuple[int, int], id_col: str, text_col: str, forest: bool) -> DataFrame:
+def _alike(docs: DataFrame, n: int, threshold: tuple[int, int], id_col: str, text_col: str, pairs: bool, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `_accumulate` gives; (doc_id, set_id, size) of the documents; (set_id, head, m) of the sets."""
     num, den = threshold
     if not 0 < num <= den:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = partitions(spark, docs)
     texts = usable(docs, id_col, text_col)
     tile = "block int, tile binary"
     members = cut(texts.mapInArrow(_members(n), "doc_id long, set_id long, size long").distinct())
@@ -438,52 +482,88 @@ def _alike(docs: DataFrame, n: int, threshold: tuple[int, int], id_col: str, tex
     columns = texts.mapInArrow(_column_tiles(n, parts), tile).repartitionById(parts, F.col("block"))
     rows = columns.mapInArrow(_count_columns(parts), tile).repartitionById(parts, F.col("block"))
     sets = rows.mapInArrow(_survivors(num, den), "set_id long, size long, grams array<long>, weights array<long>")
-    sets = cut(sets.join(heads, "set_id").select("set_id", "head", "size", "grams", "weights"))
+    sets = cut(sets.join(heads, "set_id").select("set_id", "head", "size", "grams", "weights", "m"))
     del columns, rows
     release(spark)
-    postings = sets.mapInArrow(_prefixes(num, den), "gram long, set_id long, size long, place long" + "".join(f", before{k} long" for k in range(1, BEFORE + 1)))
-    wanted = postings.repartition(parts, "gram").mapInArrow(_multiply(num, den), "gram long, tile long, side long, set_id long")
-    blocks = wanted.join(sets, "set_id").select("gram", "tile", "side", "head", "size", "grams", "weights", "set_id").repartition(parts, "gram", "tile")
-    across = blocks.mapInArrow(_accumulate(num, den, forest), "doc_a long, doc_b long, overlap long, size_a long, size_b long")
-    equal = members.join(heads.where("m > 1"), "set_id").where("doc_id <> head").select(F.col("head").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").alias("overlap"), F.col("size").alias("size_a"), F.col("size").alias("size_b"))
-    return across.unionByName(equal)
+    postings = sets.mapInArrow(_prefixes(num, den, hot), "gram long, pair long, set_id long, size long, place long" + "".join(f", before{k} long" for k in range(1, BEFORE + 1)))
+    wanted = postings.repartition(parts, "gram", "pair").mapInArrow(_multiply(num, den, hot), "gram long, pair long, tile long, side long, set_id long")
+    blocks = wanted.join(sets, "set_id").select("gram", "pair", "tile", "side", "set_id", "size", "head", "m", "grams", "weights").repartition(parts, "gram", "pair", "tile")
+    return blocks.mapInArrow(_accumulate(num, den, pairs, hot), "doc_a long, doc_b long, overlap long, size_a long, size_b long" if pairs else "kind long, a long, b long"), members, heads
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """(u, v): each node of the edges but the least of its component, with that least one, by alternating stars until nothing changes."""
+    edges = cut(edges.distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        new = cut(small)
+        sums = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if sums(new) == sums(edges):
+            return new
+        edges = new
+
+
+def jaccard_links(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (1, 2), id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document that has a link, i.e. another one with a Jaccard similarity of `threshold` (numerator, denominator) or more.
+
+    `n_links` counts those others, copies one by one. `class_id` is the least doc_id
+    of the documents that links join, directly or through others. Documents without a
+    link have no row: they are alone in their class.
+
+    Words are runs of bytes other than ASCII white space, case and punctuation kept.
+    A text of 1 to n-1 words has one n-gram, all its words. A document is a doc_id
+    with a set of n-grams: repeated rows count once, and each of several unlike texts
+    of a doc_id is one, with its own row and links.
+
+    `hot`: n-grams of more sets are compared in parts of that size; the result is the same.
+
+    Null doc_id or text, and texts without words: no link. Very long texts are taken
+    whole. No rows: no links. Other columns are not read.
+    """
+    found, members, heads = _alike(docs, n, threshold, id_col, text_col, False, hot)
+    found = cut(found)
+    tree = _components(found.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    node = tree.unionByName(tree.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("set_id"), F.col("v").alias("root"))
+    node = node.join(heads, "set_id").select("set_id", "root", "head")
+    least = node.groupBy("root").agg(F.min("head").alias("class_id"))
+    node = node.join(least, "root").select("set_id", "class_id")
+    links = found.where("kind = 1").groupBy(F.col("a").alias("set_id")).agg(F.sum("b").alias("n"))
+    sets = heads.join(node, "set_id", "left").join(links, "set_id", "left").where("m > 1 or n > 0")
+    sets = sets.select("set_id", F.coalesce("class_id", "head").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    return members.join(sets, "set_id").select("doc_id", "class_id", "n_links")
 
 
 def jaccard_join(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (1, 2), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs (doc_a < doc_b, overlap, size_a, size_b, jaccard) with a Jaccard similarity of `threshold` (numerator, denominator) or more.
 
+    Pairs between representatives, and membership: documents with equal n-gram sets
+    form a group, each is paired with its least doc_id (jaccard 1), and only that one
+    takes part in pairs with other sets. Large groups of alike sets have many pairs;
+    `jaccard_links` gives one row a document.
+
     Words are runs of bytes other than ASCII white space, case and punctuation kept.
-    A text of 1 to n-1 words has one n-gram, all its words. Documents with equal
-    n-gram sets form a group: each is paired with its least doc_id (jaccard 1), and
-    only that one takes part in pairs with other sets.
+    A text of 1 to n-1 words has one n-gram, all its words.
 
     Null doc_id or text, and texts without words: in no pair. Repeated rows and
     rows of one doc_id: equal sets count once; a doc_id is never paired with itself,
     and one with several texts has a pair for each of them that is alike. Very long texts are taken whole. No rows: no pairs. Other columns
     are not read.
     """
+    across, members, heads = _alike(docs, n, threshold, id_col, text_col, True, HOT)
+    size = F.col("size")
+    equal = members.join(heads.where("m > 1"), "set_id").where("doc_id <> head").select(F.col("head").alias("doc_a"), F.col("doc_id").alias("doc_b"), size.alias("overlap"), size.alias("size_a"), size.alias("size_b"))
     ratio = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
-    return _alike(docs, n, threshold, id_col, text_col, False).withColumn("jaccard", F.round(ratio, 6))
+    return across.unionByName(equal).withColumn("jaccard", F.round(ratio, 6))
 
 
 def near_groups(docs: DataFrame, n: int = 3, threshold: tuple[int, int] = (1, 2), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, head): the documents that pairs of `jaccard_join` link, directly or through others, to a lesser doc_id, and the least one of their group.
+    """(doc_id, head): the documents of `jaccard_links` that aren't the least of their class, and that least one.
 
-    Null, empty, repeated and very long inputs are taken as there. The groups are
-    components of the pairs; tasks hand on spanning forests, not pairs, and the
-    forests are joined by alternating stars until nothing changes.
+    Null, empty, repeated and very long inputs are taken as there.
     """
-    edges = _alike(docs, n, threshold, id_col, text_col, True).select(F.col("doc_b").alias("u"), F.col("doc_a").alias("v"))
-    edges = cut(edges.distinct())
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        new = cut(small)
-        sums = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if sums(new) == sums(edges):
-            return new.select(F.col("u").alias("doc_id"), F.col("v").alias("head"))
-        edges = new
+    return jaccard_links(docs, n, threshold, id_col, text_col).where("doc_id <> class_id").select("doc_id", F.col("class_id").alias("head"))

@@ -12,7 +12,7 @@ from .line_dedup import repeated_units
 from .mcd_rules import robust_distances, within
 from .merge_dropout import encode_documents
 from .mixing import mixed
-from .ngram_join import jaccard_join
+from .ngram_join import jaccard_links
 from .phrases import fingerprints
 from .quality_bayes import classify, train_on
 from .suffix_dedup import repeated_spans
@@ -48,22 +48,27 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=(1, 2))
+    """Every document that is like another one, with its class and its number of links."""
+    return jaccard_links(table(spark, sf_dir, "documents"), n=3, threshold=(1, 2))
 
 
 OP6_SQL = f"""
-WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM d WHERE len(w) > 0),
-h AS (SELECT s, min(doc_id) AS head, len(s) AS size FROM g GROUP BY s),
-e AS (SELECT head, size, unnest(s) AS x FROM h),
-p AS (SELECT a.head AS doc_a, b.head AS doc_b, count(*) AS overlap, a.size AS size_a, b.size AS size_b
-      FROM e a JOIN e b ON a.x = b.x AND a.head < b.head GROUP BY ALL),
-q AS (SELECT * FROM p WHERE 3 * overlap >= size_a + size_b
-      UNION ALL SELECT h.head, g.doc_id, h.size, h.size, h.size FROM g JOIN h ON g.s = h.s WHERE g.doc_id <> h.head)
-SELECT doc_a, doc_b, overlap, size_a, size_b, round(overlap / (size_a + size_b - overlap), 6) AS jaccard FROM q
+h AS MATERIALIZED (SELECT s, min(doc_id) AS head, count(*) AS m, len(s) AS size, row_number() OVER (ORDER BY min(doc_id), s) AS k FROM g GROUP BY s),
+e AS MATERIALIZED (SELECT k, size, m, unnest(s) AS x FROM h),
+p AS MATERIALIZED (SELECT a.k AS a, b.k AS b, a.m AS m_a, b.m AS m_b FROM e a JOIN e b ON a.x = b.x AND a.k < b.k
+      GROUP BY a.k, b.k, a.m, b.m, a.size, b.size HAVING 3 * count(*) >= a.size + b.size),
+q AS MATERIALIZED (SELECT a, b, m_b AS m FROM p UNION ALL SELECT b, a, m_a FROM p),
+reach AS (SELECT k, k AS r FROM h UNION SELECT reach.k, q.b FROM reach JOIN q ON q.a = reach.r),
+c AS (SELECT reach.k, min(o.head) AS class_id FROM reach JOIN h o ON o.k = reach.r GROUP BY reach.k),
+n AS (SELECT a AS k, sum(m) AS n FROM q GROUP BY a)
+SELECT g.doc_id, c.class_id, (coalesce(n.n, 0) + h.m - 1)::BIGINT AS n_links
+FROM g JOIN h USING (s) JOIN c ON c.k = h.k LEFT JOIN n ON n.k = h.k WHERE coalesce(n.n, 0) + h.m > 1
 """
 
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=5)
 

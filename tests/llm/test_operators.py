@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from retrova.llm import licence_scan, licences, mcd_rules, merge_dropout, mixing, phrases, quality_bayes, stages, url_filter
 from retrova.llm import textkit as K
 from retrova.llm.line_dedup import repeated_units
-from retrova.llm.ngram_join import jaccard_join, near_groups
+from retrova.llm.ngram_join import jaccard_join, jaccard_links, near_groups
 from retrova.llm.suffix_dedup import repeated_spans, strip_spans
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start string, gram string, row string, _cuts string, _hash string, _host string, _quality string, _pattern string, _copies string, tile string, digest string"
@@ -144,26 +144,56 @@ def test_jaccard_pairs_match_brute_force(spark, seed, threshold):
     assert got == brute_pairs(rows, 3, *threshold) and len(got) > 5
 
 
-def test_near_groups_are_components(spark):
-    rows = made(80, 9, lo=1, hi=20)
-    parent = {}
+def brute_links(rows, n, num, den):
+    """(doc_id, class_id, n_links) over all pairs of documents."""
+    docs = []
+    for d, t, *_ in rows:
+        w = (t or "").split()
+        if d is not None and w:
+            s = frozenset([" ".join(w)]) if len(w) < n else frozenset(" ".join(w[i : i + n]) for i in range(len(w) - n + 1))
+            if (d, s) not in docs:
+                docs.append((d, s))
+    label, links = list(range(len(docs))), [0] * len(docs)
+    for i, (_, x) in enumerate(docs):
+        for j, (_, y) in enumerate(docs[:i]):
+            if len(x & y) * den >= num * len(x | y):
+                links[i] += 1
+                links[j] += 1
+                label = [label[j] if v == label[i] else v for v in label]
+    least = {v: min(d for (d, _), u in zip(docs, label, strict=True) if u == v) for v in label}
+    return sorted((d, least[v], k) for (d, _), v, k in zip(docs, label, links, strict=True) if k)
 
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
 
-    for a, b, _ in brute_pairs(rows, 3, 1, 2):
-        a, b = sorted((root(a), root(b)))
-        parent[b] = a
-    want = {(x, root(x)) for x in parent if root(x) != x}
-    assert {(r["doc_id"], r["head"]) for r in near_groups(docs_of(spark, rows)).collect()} == want
+@pytest.mark.parametrize("seed,threshold", [(1, (1, 2)), (2, (1, 3)), (3, (4, 5)), (4, (1, 1))])
+def test_links_and_classes_match_brute_force(spark, seed, threshold):
+    rows = made(80, seed, lo=1, hi=20)
+    rows += [(i % 40, t, la, s) for i, t, la, s in rows[50:]]  # ids with several texts, and repeated rows
+    rows += rows[:5]
+    got = sorted(tuple(r) for r in jaccard_links(docs_of(spark, rows), 3, threshold).collect())
+    assert got == brute_links(rows, 3, *threshold) and len(got) > 5
+    heads = {(r["doc_id"], r["head"]) for r in near_groups(docs_of(spark, rows), 3, threshold).collect()}
+    assert heads == {(d, c) for d, c, _ in got if d != c}
+
+
+def test_hot_columns_are_cut_in_parts(spark):
+    """Columns of more sets than `hot` go by pairs of parts, and the links stay the same."""
+    r = random.Random(3)
+    base = [r.choice(WORDS) for _ in range(40)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(40)] = f"x{r.randrange(1000)}"
+        rows.append((i, " ".join(w), "en", "a"))
+    got = sorted(tuple(x) for x in jaccard_links(docs_of(spark, rows), hot=4).collect())
+    assert got == brute_links(rows, 3, 1, 2) and max(k for *_, k in got) > 20
 
 
 def test_jaccard_awkward(awkward, empty):
     got = {(r["doc_a"], r["doc_b"]) for r in jaccard_join(awkward).collect()}
     assert (1, 2) in got and (1, 11) in got and (1, 3) in got and not any(None in p or p[0] == p[1] for p in got)
-    assert jaccard_join(empty).count() == 0 and near_groups(empty).count() == 0
+    assert jaccard_join(empty).count() == 0 and near_groups(empty).count() == 0 and jaccard_links(empty).count() == 0
+    assert sorted(tuple(r) for r in jaccard_links(awkward).collect()) == brute_links(awkward_rows(), 3, 1, 2)
 
 
 # lines
