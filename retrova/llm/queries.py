@@ -70,18 +70,21 @@ FROM g JOIN h USING (s) JOIN c ON c.k = h.k LEFT JOIN n ON n.k = h.k WHERE coale
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=5)
+    """The sentences to remove. A passage of 50 words that begins and ends within sentences still has some 25 words of whole ones."""
+    return repeated_units(table(spark, sf_dir, "documents"), unit="sentence", min_words=25)
 
 
-OP9_SQL = """
-WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS u FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+OP9_SQL = r"""
+WITH s AS (SELECT doc_id, string_split(replace(regexp_replace(text, '([.!?])([ \t\r\v\f])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)) AS u
+      FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 p AS (SELECT doc_id, unnest(u) AS part, unnest(range(len(u))) AS unit_no FROM s),
-o AS (SELECT doc_id, unit_no, length(part) AS n_chars, trim(regexp_replace(lower(part), '[ \\t\\n\\v\\f\\r]+', ' ', 'g')) AS norm,
-        coalesce(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p),
-w AS (SELECT * FROM o WHERE norm <> '' AND len(string_split(norm, ' ')) >= 5),
-f AS (SELECT norm, min((doc_id, unit_no)) AS first, count(*) AS copies FROM w GROUP BY norm HAVING count(*) > 1)
-SELECT doc_id, unit_no, start, n_chars, first[1] AS first_doc_id, first[2] AS first_unit_no, copies
-FROM w JOIN f USING (norm) WHERE (doc_id, unit_no) <> first
+o AS (SELECT doc_id, unit_no, length(rtrim(part, chr(10))) AS n_chars, trim(regexp_replace(lower(part), '[ \t\n\v\f\r]+', ' ', 'g')) AS norm,
+        coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p),
+w AS (SELECT *, len(string_split(norm, ' ')) AS n_words, row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) AS seq FROM o WHERE norm <> ''),
+f AS (SELECT norm, min((doc_id, unit_no)) AS first, count(*) AS copies FROM w GROUP BY norm HAVING count(*) > 1),
+g AS (SELECT *, seq - row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM w JOIN f USING (norm) WHERE (doc_id, unit_no) <> first),
+r AS (SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS words FROM g)
+SELECT doc_id, unit_no, start, n_chars, first[1] AS first_doc_id, first[2] AS first_unit_no, copies FROM r WHERE words >= 25
 """
 
 def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -199,31 +200,63 @@ def test_jaccard_awkward(awkward, empty):
 # lines
 
 
-def brute_units(rows, min_words):
-    first, copies, all_ = {}, defaultdict(int), []
+def brute_units(rows, unit, min_words):
+    first, copies, all_, seen = {}, defaultdict(int), defaultdict(list), set()
+    cuts = {"line": r"(\n)", "paragraph": r"(\n[ \t\r\v\f]*\n)", "sentence": r"(\n|(?<=[.!?])(?=[ \t\r\v\f]))"}[unit]
     for d, t, *_ in rows:
         if d is None or t is None:
             continue
-        at = 0
-        for no, part in enumerate(t.split("\n")):
+        at = seq = 0
+        for k, part in enumerate(re.split(cuts, t)):
             key = " ".join(part.lower().split())
-            if key and len(key.split()) >= min_words:
-                all_.append((d, no, at, key))
+            if k % 2 == 0 and key:
                 copies[key] += 1
-                first[key] = min(first.get(key, (d, no)), (d, no))
-            at += len(part) + 1
-    return sorted((d, no, at, *first[k], copies[k]) for d, no, at, k in all_ if copies[k] > 1 and (d, no) != first[k])
+                first[key] = min(first.get(key, (d, k // 2)), (d, k // 2))
+                if (d, t) not in seen:
+                    all_[d, t].append((k // 2, at, key, seq))
+                seq += 1
+            at += len(part)
+        seen.add((d, t))
+    out = []
+    for (d, _), own in all_.items():
+        run, last = [], None
+        for no, at, key, seq in [*own, (0, 0, None, -9)]:
+            if seq - 1 != last or key is None or first[key] == (d, no):
+                if sum(len(x[2].split()) for x in run) >= min_words:
+                    out += [(d, n, a, *first[x], copies[x]) for n, a, x in run]
+                run = []
+            if key is not None and first[key] != (d, no):
+                run.append((no, at, key))
+                last = seq
+    return sorted(out)
+
+
+@pytest.mark.parametrize("unit", ["line", "paragraph", "sentence"])
+@pytest.mark.parametrize("min_words", [1, 3, 12])
+def test_repeated_units_match_brute_force(spark, unit, min_words):
+    r = random.Random(4)
+    rows = made(40, 4) + awkward_rows()
+    rows = [(d, re.sub(" ", lambda m: r.choice([" ", " ", " ", ". ", "\n", "\n\n", "? ", " \t"]), t) if t and len(t) < 5000 else t, la, s) for d, t, la, s in rows]
+    rows += [(100 + i, t, la, s) for i, (d, t, la, s) in enumerate(rows[:30])] + rows[:10]
+    got = sorted(tuple(x) for x in repeated_units(docs_of(spark, rows), unit, min_words).select("doc_id", "unit_no", "start", "first_doc_id", "first_unit_no", "copies").collect())
+    assert got == brute_units(rows, unit, min_words) and got
 
 
 def test_line_dedup(spark, awkward, empty):
-    rows = made(50, 4) + awkward_rows()
-    rows = [(d, t.replace("  ", "\n") if t else t, la, s) for d, t, la, s in rows]
-    got = sorted(tuple(r) for r in repeated_units(docs_of(spark, rows), "line", 3).select("doc_id", "unit_no", "start", "first_doc_id", "first_unit_no", "copies").collect())
-    assert got == brute_units(rows, 3) and got
     assert {r["doc_id"] for r in repeated_units(awkward, "line", 5).collect()} >= {2, 10}
+    ranked = docs_of(spark, [(1, "one line\nof them", "en", "a"), (2, "One  line\nOF THEM", "en", "a")]).withColumn("rank", -F.col("doc_id"))
+    assert {(r["doc_id"], r["first_doc_id"]) for r in repeated_units(ranked, "line", 4, rank_col="rank").collect()} == {(1, 2)}
     assert repeated_units(empty).count() == 0
 
 
+def test_short_common_units_stay_and_runs_go(spark):
+    """A short sentence that many texts have stays in them; in a repeated passage, or repeated on end in one text, it goes."""
+    passage = "It was so. The rain fell on the roofs of the old town all night. Nobody slept. In the morning the streets were rivers and the square a lake."
+    rows = [(1, "First words. It was so. Own end of one.", "en", "a"), (2, f"Before it {passage} And after", "en", "a"), (3, f"Other start. {passage} Other end. Nobody slept. Quite.", "en", "a"), (4, "\n".join(["row"] * 40), "en", "a")]
+    got = {(r["doc_id"], r["unit_no"]) for r in repeated_units(docs_of(spark, rows), "sentence", 25).collect()}
+    assert got == {(3, k) for k in (1, 2, 3, 4)} | {(4, k) for k in range(1, 40)}
+
+
 def test_paragraph_dedup(spark):
     rows = [(1, "a b c d e\nf\n\nother one is here now", "en", "a"), (2, "start of it\n \nA  b c d E\nf\n\nx", "en", "a")]
     got = repeated_units(docs_of(spark, rows), "paragraph", 5).collect()
