@@ -16,6 +16,7 @@ n-gram of the model never leaves numpy. Nothing is shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import licences
 from . import textkit as K
-from .jobs import usable
+from .jobs import cut, usable
 from .quality_bayes import words
 
 U = np.uint64
@@ -130,17 +131,20 @@ class Model:
 
 
 def _fit(x: np.ndarray, y: np.ndarray, classes: int, ridge: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regression of several classes, by accelerated gradient steps."""
-    n = len(y)
-    target = np.zeros((n, classes), np.float32)
-    target[np.arange(n), y] = 1
+    """Logistic regression of several classes, by accelerated gradient steps. Equal rows are one, with the counts of their classes."""
+    n, most = len(y), max(float((x.sum(1) + 1).mean()), 1.0)
+    _, first, back = np.unique(np.packbits(x > 0, axis=1), axis=0, return_index=True, return_inverse=True)
+    x = x[first]
+    target = np.zeros((len(x), classes), np.float32)
+    np.add.at(target, (back.reshape(-1), y), 1)
+    times = target.sum(1, keepdims=True)
     w, b = np.zeros((x.shape[1], classes), np.float32), np.zeros(classes, np.float32)
     vw, vb = w, b
-    rate = np.float32(1 / (0.5 * max(float((x.sum(1) + 1).mean()), 1.0) / 4 + ridge))
+    rate = np.float32(1 / (0.5 * most / 4 + ridge))
     for k in range(steps):
         s = x @ vw + vb
         s = np.exp(s - s.max(1, keepdims=True))
-        g = (s / s.sum(1, keepdims=True) - target) / n
+        g = (s / s.sum(1, keepdims=True) * times - target) / n
         nw, nb = vw - rate * (x.T @ g + np.float32(ridge / n) * vw), vb - rate * g.sum(0)
         vw, vb = nw + (nw - w) * np.float32(k / (k + 3)), nb + (nb - b) * np.float32(k / (k + 3))
         w, b = nw, nb
@@ -192,18 +196,42 @@ def train(background: list[str], seed: int = 17, false_rate: float = 0.001, ridg
     return Model(names, keys, w.astype(float), b.astype(float), float(temperature), min(least, 0.99), sieve, tuple(n for _, n, _ in tmpl), np.array([names.index(f) for f, _, _ in tmpl]), th[order], tr[order], np.bincount(tr, minlength=len(tmpl)))
 
 
-def train_on(docs: DataFrame, max_background: int = 2000, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Trains with the paragraphs of `max_background` documents of the least hash as examples without a licence.
+_NAMED = re.compile(r"licen[cs]|spdx|\bgpl|creative commons|\bcc[ -]?(by|0)", re.IGNORECASE)
 
-    That bound is the sample's size; paragraphs that name a licence are left out of
-    it, and of each document at most eight evenly spaced ones are taken.
+
+def _background(per_document: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lines = [], []
+            for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = [x for x in text.split("\n") if x.strip() and not _NAMED.search(x)]
+                for x in own[:: max(1, -(-len(own) // per_document))]:
+                    ids.append(i)
+                    lines.append(x)
+            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "x": pa.array(lines, pa.string())})
+
+    return run
+
+
+def background(docs: DataFrame, max_background: int, per_document: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, x) of the lines that `train_on` takes for examples without a licence."""
+    keys = usable(docs, id_col, text_col).select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.xxhash64("text").alias("t"))
+    picked = cut(keys.orderBy("h", "doc_id", "t").limit(max_background).select("doc_id").distinct())
+    sample = usable(docs, id_col, text_col).join(F.broadcast(picked), "doc_id", "left_semi")  # max_background ids at most
+    # lines are cut in Arrow batches: an expression over `text` would be pushed below the join and run on every document
+    return sample.mapInArrow(_background(per_document), "doc_id long, x string").distinct()
+
+
+def train_on(docs: DataFrame, max_background: int = 2000, per_document: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Trains with lines of the `max_background` documents of the least hash as examples without a licence.
+
+    The sample is bounded by `max_background`, and by `per_document` evenly spaced lines
+    of each; lines that name a licence are left out of it. Null doc_id or text: not
+    read. Repeated rows and equal lines of a doc_id count once; ties of the hash go by
+    doc_id, then text. Very long texts are cut whole. Without rows the built-in prose is
+    all there is. Other columns are not read.
     """
-    picked = usable(docs, id_col, text_col).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", F.xxhash64("text")).select("doc_id").limit(max_background)
-    sample = usable(docs, id_col, text_col).join(F.broadcast(picked.distinct()), "doc_id", "left_semi")  # max_background ids at most
-    lines = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"(?i)licen[cs]|spdx|\bgpl|creative commons|\bcc[ -]?(by|0)"))
-    step = F.greatest(F.lit(1), F.ceil(F.size("l") / 8)).cast("int")
-    rows = sample.select("doc_id", lines.alias("l")).select("doc_id", F.filter("l", lambda x, i: i % step == 0).alias("l")).selectExpr("doc_id", "explode(l) AS x")
-    return train([r["x"] for r in rows.distinct().orderBy("doc_id", "x").collect()], seed)
+    return train([r["x"] for r in background(docs, max_background, per_document, seed, id_col, text_col).orderBy("doc_id", "x").collect()], seed)
 
 
 def _scan(model: Model, confirm: float):

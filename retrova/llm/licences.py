@@ -93,7 +93,7 @@ def templates() -> list[tuple[str, str, str]]:
 def examples(background: list[str], seed: int) -> tuple[list[str], list[str]]:
     """Texts and their families ("" is unknown): templates alone, wrapped, embedded in prose, and paragraphs without a licence."""
     r = random.Random(seed)
-    prose = [w for p in background for w in p.split()][:20_000] or _FILLER
+    prose = [w for p in background for w in p.split()] or _FILLER
     some = lambda lo, hi: " ".join(r.choice(r.choice((prose, _FILLER))) for _ in range(r.randint(lo, hi)))
     texts, family = [], []
     for f, name, t in templates():

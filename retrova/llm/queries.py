@@ -44,7 +44,7 @@ def op3_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return licence.licence_scan(docs, licence.train_on(docs, max_background=2000), confirm=0.6)
+    return licence.licence_scan(docs, licence.train_on(docs, max_background=2000, per_document=8), confirm=0.6)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -486,6 +486,28 @@ def test_licences_on_unseen_notices(spark, model, empty):
     assert licence_scan.licence_scan(empty, model).count() == 0
 
 
+def test_licence_training_takes_lines_of_a_sample(spark, awkward, empty):
+    """The background is what plain Python takes of the documents of the least hash, and a model trained on it finds notices and nothing else."""
+    r = random.Random(14)
+    some = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    rows = [(i, "\n".join(r.choice([some(9), some(3), "", " ", "Released under the MIT License.", f"{some(4)} Licensed under the GNU GPL v3."]) for _ in range(r.randint(1, 20))), "en", "a") for i in range(60)]
+    docs = docs_of(spark, rows + rows[:9] + [(None, some(5), "en", "a"), (70, None, "en", "a")])
+    ids = sorted((x["h"], x["doc_id"]) for x in docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("doc_id", F.lit(5)).alias("h")).collect())
+    picked = {d for _, d in ids[:20]}
+    want = set()
+    for d, t, *_ in rows:
+        own = [x for x in t.split("\n") if x.strip() and "MIT" not in x and "GPL" not in x]
+        step = max(1, -(-len(own) // 4))
+        want |= {(d, x) for x in own[::step] if d in picked}
+    got = licence_scan.background(docs, 20, 4, 5).collect()
+    assert {(x["doc_id"], x["x"]) for x in got} == want and len(got) == len(want)
+    model = licence_scan.train_on(docs, 20, 4, 5)
+    found = licence_scan.licence_scan(docs, model).where("confirmed").collect()
+    assert {(x["doc_id"], x["start"]) for x in found} == {(d, sum(len(y) + 1 for y in t.split("\n")[:k])) for d, t, *_ in rows for k, x in enumerate(t.split("\n")) if "MIT" in x or "GPL" in x}
+    for docs in (awkward, empty):
+        assert licence_scan.licence_scan(awkward, licence_scan.train_on(docs)).where("confirmed").count() == 0
+
+
 def test_licences_awkward(awkward, model):
     assert licence_scan.licence_scan(awkward, model).count() == 0
     texts = awkward.withColumn("text", F.concat(F.lit("Released under the MIT License.\r\n"), "text"))
