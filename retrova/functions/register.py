@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-_TOKENS = "filter(split(lower({0}), '[^a-z0-9]+'), t -> t <> '')"
+_TOKENS = "array_remove(split(lower({0}), '[^a-z0-9]+'), '')"
 _SUM = "aggregate({0}, 0D, (s, x) -> s + x)"
 _MATCH = "if(size(a) <> size(b), raise_error(concat('vector dimension mismatch: left=', size(a), ' right=', size(b))), {0})"
 _DOT = _SUM.format("zip_with(a, b, (x, y) -> double(x) * double(y))")
@@ -12,8 +12,8 @@ _NORM = "sqrt(" + _SUM.format("transform({0}, x -> double(x) * double(x))") + ")
 _NORMS = f"({_NORM.format('a')} * {_NORM.format('b')})"
 _INNER = "if(startswith(trim(x), '[') AND endswith(trim(x), ']'), substr(trim(x), 2, length(trim(x)) - 2), trim(x))"
 _PARSED = f"transform(filter(split({_INNER}, ','), t -> trim(t) <> ''), t -> float(trim(t)))"
-_TF = "double(size(filter(" + _TOKENS.format("document") + ", t -> t = q)))"
-_LENGTH = "double(size(" + _TOKENS.format("document") + "))"
+_PART = "if(tf > 0, greatest(0.01D, ln(1 + 1 / (tf + 1)) + 1) * tf * 2.2D / (tf + 1.2D * (0.25D + 0.75D * size(d) / 50)), 0D)"
+_COUNTS = f"transform(array_distinct({_TOKENS.format('query')}), q -> double(size(d) - size(array_remove(d, q))))"
 _LOW = "aggregate(sequence(1, length(t)), 5, (h, i) -> ((h ^ ascii(substr(t, i, 1))) * 435) & 15)"
 _MARKED = f"transform({_TOKENS.format('x')}, (t, i) -> struct({_LOW} AS h, 1 / sqrt(i + 1D) AS w))"
 _RAW = f"transform(sequence(0, 15), k -> aggregate(filter({_MARKED}, m -> m.h = k), 0D, (s, m) -> s + if(k % 2 = 0, m.w, -m.w)))"
@@ -26,7 +26,8 @@ FUNCTIONS = {
     "cosine_distance(a ARRAY<FLOAT>, b ARRAY<FLOAT>)": ("DOUBLE", _MATCH.format(f"if({_NORMS} = 0, 1D, 1 - {_DOT} / nullif({_NORMS}, 0D))")),
     "neg_inner_product(a ARRAY<FLOAT>, b ARRAY<FLOAT>)": ("DOUBLE", _MATCH.format(f"-{_DOT}")),
     "embed(x STRING)": ("ARRAY<FLOAT>", f"if(size({_TOKENS.format('x')}) = 0, transform(sequence(0, 15), k -> if(k = 0, float(1), float(0))), transform({_RAW}, r -> float(r / nullif(sqrt(aggregate({_RAW}, 0D, (s, y) -> s + y * y)), 0D))))"),
-    "bm25_score(query STRING, document STRING)": ("DOUBLE", f"aggregate(array_distinct({_TOKENS.format('query')}), 0D, (score, q) -> score + if({_TF} > 0, greatest(0.01D, ln(1 + 1 / ({_TF} + 1)) + 1) * {_TF} * 2.2D / ({_TF} + 1.2D * (0.25D + 0.75D * {_LENGTH} / 50)), 0D))"),
+    # the document is cut once, and bound to d
+    "bm25_score(query STRING, document STRING)": ("DOUBLE", f"transform(array({_TOKENS.format('document')}), d -> aggregate({_COUNTS}, 0D, (score, tf) -> score + {_PART}))[0]"),
     "hybrid_score(v DOUBLE, t DOUBLE, alpha DOUBLE)": ("DOUBLE", "if(alpha BETWEEN 0 AND 1, alpha * v + (1 - alpha) * t, double(raise_error('hybrid_score alpha must be between 0.0 and 1.0')))"),
 }
 

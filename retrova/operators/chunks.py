@@ -16,12 +16,19 @@ COLUMNS = ("rowid", "id", "doc_id", "content", "metadata", "embedding", "created
 SCHEMA = "rowid long, id string, doc_id string, content string, metadata string, embedding array<float>, created_at long"
 
 
-def from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents and their embeddings (doc_id = vec_id) as chunks; doc_id is the source."""
+def from_tables(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
+    """documents and their embeddings (doc_id = vec_id) as chunks; doc_id is the source.
+
+    The metadata's keys stand beside it as columns meta_<key>, by which filters reach the
+    scan. vectors: False leaves the embeddings unread, and null.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    joined = docs.join(vectors, docs["doc_id"] == vectors["vec_id"], "left")
-    return joined.select(F.col("doc_id").alias("rowid"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("doc_id"), F.col("text").alias("content"), F.to_json(F.struct("lang", "source")).alias("metadata"), "embedding", F.col("n_chars").alias("created_at"))
+    if vectors:
+        own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+        docs = docs.join(own, docs["doc_id"] == own["vec_id"], "left")
+    else:
+        docs = docs.withColumn("embedding", F.lit(None).cast("array<float>"))
+    return docs.select(F.col("doc_id").alias("rowid"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("doc_id"), F.col("text").alias("content"), F.to_json(F.struct("lang", "source")).alias("metadata"), "embedding", F.col("n_chars").alias("created_at"), F.col("lang").alias("meta_lang"), F.col("source").alias("meta_source"))
 
 
 def metadata_value(key: str, column: str = "metadata") -> Column:
@@ -32,9 +39,10 @@ def metadata_value(key: str, column: str = "metadata") -> Column:
 
 
 def where(chunks: DataFrame, filters: dict[str, str] | None = None, doc_id: str | None = None) -> DataFrame:
-    """Metadata equalities, compared as strings, and a document's id, all of which must hold."""
+    """Metadata equalities, compared as strings, and a document's id, all of which must hold. A key that has a column meta_<key> is looked up there, else in the JSON."""
     for key, value in sorted((filters or {}).items()):
-        chunks = chunks.where(metadata_value(key) == str(value))
+        own = metadata_value(key)
+        chunks = chunks.where((F.col(f"meta_{key}") if f"meta_{key}" in chunks.columns else own) == str(value))
     return chunks if doc_id is None else chunks.where(F.col("doc_id") == doc_id)
 
 

@@ -17,6 +17,7 @@ from .plans.ddl import Catalog
 from .plans.request import SearchRequest
 from .plans.search import search
 from .sources import chunking, importers
+from .storage import shared_folder, version
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,6 +51,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks for queries by text alone: their vectors stay unread."""
+    return C.from_tables(spark, sf_dir, vectors=False)
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> lexical.TextIndex:
+    """The stored text index of the documents as they are now, made where there is none."""
+    path = f"{shared_folder(spark)}/text-index-{version(spark, f'{sf_dir}/documents.parquet')}"
+    return lexical.TextIndex.kept(texts(spark, sf_dir), path)
+
+
 def view(spark: SparkSession, sf_dir: str) -> None:
     C.from_tables(spark, sf_dir).createOrReplaceTempView("chunks")
 
@@ -178,12 +190,12 @@ CT = f"{CH}, ct AS (SELECT *, {TOK.format('content')} AS tok FROM chunks)"
 
 @query(f"WITH {CT} SELECT id, round({BM25}, 6) AS score FROM ct ORDER BY score DESC, id LIMIT 10")
 def bm25_score_topk(spark, sf_dir):
-    return C.from_tables(spark, sf_dir).select("id", F.round(T.bm25_score(F.lit(TEXT), F.col("content")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+    return texts(spark, sf_dir).select("id", F.round(T.bm25_score(F.lit(TEXT), F.col("content")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
 
 
 @query(f"WITH {CT} SELECT id, round({OVERLAP}, 6) AS score FROM ct ORDER BY score DESC, id LIMIT 10")
 def lexical_overlap_topk(spark, sf_dir):
-    return C.from_tables(spark, sf_dir).select("id", F.round(T.lexical_overlap(F.lit(TEXT), F.col("content")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
+    return texts(spark, sf_dir).select("id", F.round(T.lexical_overlap(F.lit(TEXT), F.col("content")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(10)
 
 
 #: bm25 of all chunks that match, with the statistics of the whole corpus
@@ -198,18 +210,18 @@ fts AS (SELECT id, round(sum(w), 6) AS bm25 FROM sc GROUP BY id)"""
 
 @query(f"WITH {FTS} SELECT id, bm25 FROM fts ORDER BY bm25 DESC, id LIMIT 50")
 def fts_bm25_topk(spark, sf_dir):
-    return lexical.ranked(lexical.matches(C.from_tables(spark, sf_dir), TEXT), 50)
+    return lexical.ranked(text_index(spark, sf_dir).matches(TEXT), 50)
 
 
 @query(f"WITH {FTS} SELECT id, bm25 FROM fts JOIN chunks USING (id) WHERE lang = 'fr' ORDER BY bm25 DESC, id LIMIT 50")
 def fts_bm25_filtered(spark, sf_dir):
-    ch = C.from_tables(spark, sf_dir)
-    return lexical.ranked(lexical.matches(ch, TEXT, C.where(ch, {"lang": "fr"})), 50)
+    return lexical.ranked(text_index(spark, sf_dir).matches(TEXT, C.where(texts(spark, sf_dir), {"lang": "fr"})), 50)
 
 
 @query(f"WITH {FTS}, r AS (SELECT * FROM fts ORDER BY bm25 DESC, id LIMIT 50) SELECT id, round(1 / (1 + (SELECT max(bm25) FROM r) - bm25), 6) AS text_score FROM r")
 def fts_score_normalised(spark, sf_dir):
-    return lexical.normalised(lexical.ranked(lexical.matches(C.from_tables(spark, sf_dir), TEXT), 50)).select("id", F.round("text_score", 6).alias("text_score"))
+    """Read from the chunks themselves, without an index."""
+    return lexical.normalised(lexical.ranked(lexical.matches(texts(spark, sf_dir), TEXT), 50)).select("id", F.round("text_score", 6).alias("text_score"))
 
 
 @query(f"""
@@ -222,7 +234,7 @@ s AS (SELECT query_id, id, round(sum(CASE WHEN (n - df + 0.5) / (df + 0.5) <= 1
 SELECT query_id, id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS rank FROM s QUALIFY rank <= 10""")
 def fts_batch_topk(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return lexical.batch(C.from_tables(spark, sf_dir), q, 10).select("query_id", "id", "bm25", F.col("rank").cast("long").alias("rank"))
+    return lexical.batch(text_index(spark, sf_dir), q, 10).select("query_id", "id", "bm25", F.col("rank").cast("long").alias("rank"))
 
 
 def _fnv_sql(x: str) -> str:
@@ -285,6 +297,17 @@ _surface("search_latency_profile", *_search_sql(f"'{TEXT}', NULL, 50, 0.65, 20,
 _surface("search_filtered", *_search_sql(f"'{TEXT}', NULL, 10, 0.65, 500, 'recall', '{{\"lang\":\"es\"}}'", BM25, "lang = 'es'", 10))
 
 
+_TYPED = _search_sql(f"'{TEXT}', NULL, 10, 0.65, 500, 'recall', '{{\"n\":3,\"long text\":true,\"deep.kind\":\"1\",\"a-b\":\"x\"}}'", BM25, "rowid % 7 = 3 AND len(content) > 1000 AND created_at % 2 = 1", 10)
+
+
+@query(_TYPED[1])
+def search_filter_typed(spark, sf_dir):
+    """Metadata filters on a number, a boolean, a string within an object, and under keys of odd characters."""
+    made = F.struct((F.col("rowid") % 7).alias("n"), (F.length("content") > 1000).alias("long text"), F.struct((F.col("created_at") % 2).cast("string").alias("kind")).alias("deep"), F.lit("x").alias("a-b"))
+    texts(spark, sf_dir).withColumn("metadata", F.to_json(made)).createOrReplaceTempView("typed_chunks")
+    return rewrite.execute(spark, _TYPED[0], "typed_chunks")
+
+
 @query(f"WITH {CT}, s AS (SELECT id AS chunk_id, {_BOTH} AS h FROM ct WHERE embedding IS NOT NULL ORDER BY h DESC, id LIMIT 10) SELECT chunk_id, round(h, 6) AS hybrid_score FROM s")
 def search_hybrid_sql(spark, sf_dir):
     C.from_tables(spark, sf_dir).where("embedding IS NOT NULL").createOrReplaceTempView("vector_chunks")
@@ -303,7 +326,7 @@ def search_vector_only(spark, sf_dir):
 
 def _api(name: str, request: SearchRequest, oracle: str | None) -> None:
     def run(spark, sf_dir):
-        return search(C.from_tables(spark, sf_dir), request).select("chunk_id", "doc_id", "vector_score", F.round("text_score", 6).alias("text_score"), "hybrid_score")
+        return search(C.from_tables(spark, sf_dir, request.vector is not None), request, text_index(spark, sf_dir) if request.text else None).select("chunk_id", "doc_id", "vector_score", F.round("text_score", 6).alias("text_score"), "hybrid_score")
 
     run.__name__ = name
     QUERIES[name] = run
@@ -490,11 +513,13 @@ def quickstart_median(spark, sf_dir):
 
 
 def _requests(spark, sf_dir) -> DataFrame:
-    n = F.col("event_id") % 100
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", "/v1/sql").otherwise("/v1/query").alias("path"), F.when(n < 90, 200).when(n < 97, 404).otherwise(500).alias("status"), F.col("value").alias("duration_ms"))
+    n, kind = F.col("event_id") % 100, F.col("event_type")
+    path = F.when(kind == "click", "/v1/sql?compact=1").when(kind == "view", "/grpc/v1.QueryService/Query").otherwise("/health")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), path.alias("path"), F.when(n < 90, 200).when(n < 97, 404).otherwise(500).alias("status"), F.col("value").alias("duration_ms"))
 
 
-_REQ = "WITH r AS (SELECT event_id AS seq, CASE WHEN event_type = 'click' THEN '/v1/sql' ELSE '/v1/query' END AS path, CASE WHEN event_id % 100 < 90 THEN 200 WHEN event_id % 100 < 97 THEN 404 ELSE 500 END AS status, value AS duration_ms FROM events), m AS (SELECT count(*) AS requests, count(*) FILTER (status BETWEEN 400 AND 499) AS client_errors, count(*) FILTER (status >= 500) AS server_errors, count(*) FILTER (path = '/v1/sql') AS sql_requests, round(coalesce(avg(duration_ms) FILTER (path = '/v1/sql'), 0), 6) AS sql_avg_ms, coalesce(max(duration_ms) FILTER (path = '/v1/sql'), 0) AS sql_max_ms FROM r)"
+_REQ = """WITH r AS (SELECT event_id AS seq, CASE event_type WHEN 'click' THEN '/v1/sql?compact=1' WHEN 'view' THEN '/grpc/v1.QueryService/Query' ELSE '/health' END AS path, CASE WHEN event_id % 100 < 90 THEN 200 WHEN event_id % 100 < 97 THEN 404 ELSE 500 END AS status, value AS duration_ms, event_type IN ('click', 'view') AS is_sql FROM events),
+m AS (SELECT count(*) AS requests, count(*) FILTER (status BETWEEN 400 AND 499) AS client_errors, count(*) FILTER (status >= 500) AS server_errors, count(*) FILTER (is_sql) AS sql_requests, count(*) FILTER (is_sql AND status >= 400) AS sql_failed, round(coalesce(avg(duration_ms) FILTER (is_sql), 0), 6) AS sql_avg_ms, coalesce(max(duration_ms) FILTER (is_sql), 0) AS sql_max_ms FROM r)"""
 
 
 @query(f"{_REQ} SELECT * FROM m")
@@ -502,9 +527,9 @@ def request_metrics(spark, sf_dir):
     return reports.request_metrics(_requests(spark, sf_dir))
 
 
-@query(f"{_REQ} SELECT round(100 * (1 - server_errors / requests), 6) AS availability, 100 * (1 - server_errors / requests) >= 99.95 AS availability_met, server_errors / requests > 0.05 AS alert_errors, sql_avg_ms > 50 AS alert_latency FROM m")
+@query(f"{_REQ} SELECT round(100 * (requests - server_errors) / requests, 6) AS availability, 100 * (requests - server_errors) / requests >= 99.95 AS availability_met, 2.5::DOUBLE AS rpo_seconds, TRUE AS rpo_met, round(sql_failed / sql_requests, 6) AS sql_error_rate, sql_failed / sql_requests > 0.05 AS alert_sql_errors, sql_avg_ms > 50 AS alert_sql_latency, TRUE AS alert_lag, FALSE AS alert_restore FROM m")
 def slo_report(spark, sf_dir):
-    return reports.service_levels(reports.request_metrics(_requests(spark, sf_dir)))
+    return reports.service_levels(reports.request_metrics(_requests(spark, sf_dir)), lag_ms=2500.0, restore_ms=300_000)
 
 
 @query(f"{_REQ} SELECT seq, path, status, duration_ms FROM r ORDER BY seq DESC LIMIT 512")
@@ -518,14 +543,22 @@ def audit_filter(spark, sf_dir):
     return reports.audit(e, tenant="t1", allowed=False, since=100)
 
 
-_ROLE = "['admin', 'writer', 'reader', 'auditor'][1 + user_id % 4]"
+#: Who may do what, by role and operation: granted to some role, and for another tenant only with the role admin.
+_RBAC = """
+WITH e AS (SELECT event_id, user_id % 5 = event_id % 5 AS own, ['query', 'ingest', 'sql_admin', 'delete_tenant'][1 + event_id % 4] AS op,
+        [['reader'], ['writer'], ['tenant_admin'], ['admin'], ['reader', 'tenant_admin'], ['stranger'], [], ['stranger', 'admin']][1 + user_id % 8] AS roles FROM events),
+g(role, op) AS (VALUES ('reader', 'query'), ('writer', 'query'), ('writer', 'ingest'), ('tenant_admin', 'query'), ('tenant_admin', 'ingest'), ('tenant_admin', 'delete_tenant'),
+        ('admin', 'query'), ('admin', 'ingest'), ('admin', 'sql_admin'), ('admin', 'delete_tenant'))
+SELECT event_id, EXISTS (SELECT 1 FROM g WHERE g.op = e.op AND list_contains(e.roles, g.role)) AND (own OR list_contains(roles, 'admin')) AS allowed FROM e"""
 
 
-@query(f"SELECT event_id, CASE {_ROLE} WHEN 'admin' THEN TRUE WHEN 'writer' THEN event_id % 3 <> 2 AND user_id % 5 = event_id % 5 WHEN 'reader' THEN event_id % 3 = 0 AND user_id % 5 = event_id % 5 ELSE FALSE END AS allowed FROM events")
+@query(_RBAC)
 def rbac_allowed(spark, sf_dir):
-    roles, ops = F.array(*map(F.lit, ("admin", "writer", "reader", "auditor"))), F.array(*map(F.lit, ("query", "ingest", "sql_admin")))
+    held = [["reader"], ["writer"], ["tenant_admin"], ["admin"], ["reader", "tenant_admin"], ["stranger"], [], ["stranger", "admin"]]
+    roles = F.array(*[F.array(*map(F.lit, x)).cast("array<string>") for x in held])
+    ops = F.array(*map(F.lit, ("query", "ingest", "sql_admin", "delete_tenant")))
     pick: Callable[[Column, Column], Column] = lambda a, i: F.element_at(a, (i + 1).cast("int"))
-    e = table(spark, sf_dir, "events").select("event_id", F.array(pick(roles, F.col("user_id") % 4)).alias("actor_roles"), (F.col("user_id") % 5).alias("actor_tenant"), (F.col("event_id") % 5).alias("tenant"), pick(ops, F.col("event_id") % 3).alias("operation"))
+    e = table(spark, sf_dir, "events").select("event_id", pick(roles, F.col("user_id") % 8).alias("actor_roles"), (F.col("user_id") % 5).alias("actor_tenant"), (F.col("event_id") % 5).alias("tenant"), pick(ops, F.col("event_id") % 4).alias("operation"))
     return reports.allowed(e).select("event_id", "allowed")
 
 
@@ -557,12 +590,12 @@ def pitr_select(spark, sf_dir):
     return reports.restore_point(_snapshots(spark, sf_dir), 90_000)
 
 
-@query(f"{_SNAP} SELECT * FROM s WHERE created_ms < 50000 AND snapshot_id <> (SELECT arg_max(snapshot_id, (created_ms, snapshot_id)) FROM s)")
+@query(f"{_SNAP} SELECT * FROM s WHERE created_ms < 50000 AND present AND snapshot_id <> (SELECT snapshot_id FROM s ORDER BY created_ms DESC, snapshot_id LIMIT 1)")
 def snapshot_prune(spark, sf_dir):
     return reports.prunable(_snapshots(spark, sf_dir), 100_000, 50_000)
 
 
-@query("SELECT count(*) AS scanned, count(*) FILTER (user_id % 2 = 0) AS encrypted, count(*) FILTER (user_id % 6 = 0) AS current, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT DISTINCT 'k' || (user_id % 3) AS k FROM events WHERE user_id % 2 = 0 AND user_id % 3 <> 0)) AS stale_keys FROM events")
+@query("SELECT count(*) AS scanned, count(*) FILTER (user_id % 2 = 0) AS encrypted, count(*) FILTER (user_id % 6 = 0) AS current, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT DISTINCT 'k' || (user_id % 3) AS k FROM events WHERE user_id % 2 = 0 AND user_id % 3 <> 0)) AS stale_keys, FALSE AS verified FROM events")
 def key_rotation_report(spark, sf_dir):
     value = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("enc:v1:k"), (F.col("user_id") % 3).cast("string"), F.lit(":00ff"))).otherwise("plain")
     return reports.key_report(table(spark, sf_dir, "events").select(value.alias("value")), "k0")
