@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from retrova.llm import stages
+from retrova.storage import shared_folder
 
 STAGES = [
     ("quality classifier", stages.quality),
@@ -22,9 +22,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn. Their tables lie in the shared folder of spark.checkpoint.dir, or, where that is unset, in a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    root = f"{root}/pipeline-{uuid.uuid4().hex}"
+    """The stages in turn. Their tables lie in the folder of spark.checkpoint.dir (see `shared_folder` for where that is unset)."""
+    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")

@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
 
-    Where that is unset, as in tests on one machine, a temporary folder is used.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir; see `shared_folder` for where that is unset."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -53,3 +51,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def usable(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and text of the rows that have both, and the columns `more`; other columns, whatever their names, go."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more).where("doc_id is not null and text is not null")
+
+
+def counted(rows: DataFrame, limit: int = 50_000) -> DataFrame:
+    """For a join: broadcast if it has been counted to be no more than `limit` rows, else left to a shuffle. `rows` should be cheap to count, as a cut one is."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows

@@ -1,7 +1,7 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant.
 
 Each text becomes a vector of transformed statistics. For each (language, source),
-each language and all texts, concentration steps look for the half (`h`) of the
+each language and all texts, concentration steps look for the share `h` of the
 vectors whose covariance has the least determinant: from a start, all vectors'
 Mahalanobis distances are taken, and mean and covariance are estimated anew from
 the h closest. Two starts are tried, by medians with absolute deviations and by
@@ -11,8 +11,9 @@ next wider group.
 
 A step is one aggregation: distances fall into logarithmic bins, each (group, bin)
 sums moments (which combine on the map side), and a group's bins, a bounded number,
-give the h closest and the new estimate. No group's rows come together anywhere,
-so a source that holds half the corpus is no hot spot.
+give the h closest and the new estimate. Estimates, two rows a group, go to the
+vectors: broadcast while they have been counted to be few, else by a join. So a
+source that holds half the corpus is no hot spot.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .jobs import cut
+from .jobs import counted, cut
 from .quality_bayes import _DIGIT, _LETTER, _MARK, _PLAIN, _UPPER, _sums, words
 
 STATS = ("log_words", "odd_marks", "plain_marks", "capitals", "digits", "repeats", "word_length", "line_ends")
@@ -129,11 +130,11 @@ def _distance() -> Column:
 def _first(rows: DataFrame) -> DataFrame:
     """Starts 0 (medians and absolute deviations) and 1 (spatial signs about the medians)."""
     middle = rows.groupBy("grp").agg(*[F.percentile_approx(f"x{k}", 0.5, 1000).alias(f"m{k}") for k in range(P)])
-    with_m = rows.join(middle, "grp")
+    with_m = rows.join(counted(cut(middle)), "grp")
     spread = with_m.groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(f"x{k}") - F.col(f"m{k}")), 0.5, 1000).alias(f"d{k}") for k in range(P)])
     scaled = [(F.col(f"x{k}") - F.col(f"m{k}")) / F.greatest(1.4826 * F.col(f"d{k}"), F.lit(float(FLOOR[k]))) for k in range(P)]
     norm = F.greatest(F.sqrt(sum((z * z for z in scaled), F.lit(0.0))), F.lit(1e-9))
-    signs = with_m.join(spread, "grp").groupBy("grp").agg(*[F.avg(scaled[i] * scaled[j] / (norm * norm)).alias(f"q{i}_{j}") for i, j in _PAIRS], *[F.first(f"m{k}").alias(f"m{k}") for k in range(P)], *[F.first(f"d{k}").alias(f"d{k}") for k in range(P)], F.count(F.lit(1)).cast("double").alias("n"))
+    signs = with_m.join(counted(cut(spread)), "grp").groupBy("grp").agg(*[F.avg(scaled[i] * scaled[j] / (norm * norm)).alias(f"q{i}_{j}") for i, j in _PAIRS], *[F.first(f"m{k}").alias(f"m{k}") for k in range(P)], *[F.first(f"d{k}").alias(f"d{k}") for k in range(P)], F.count(F.lit(1)).cast("double").alias("n"))
 
     def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -166,6 +167,11 @@ def robust_distances(docs: DataFrame, h: float = 0.75, steps: int = 4, least: in
     and source, 1 language, 0 all. Null languages and sources are values of their
     own. A null text is left out; an empty one is a vector like others; a null
     doc_id stays. Repeated rows each count. Very long texts count whole. No rows: none.
+    Starts whose determinants tie: the first; distances that tie fall into one bin, and
+    a bin that reaches the share `h` counts whole. Other columns are not read.
+
+    `steps`: the determinant falls with each step and settles within a few; the number
+    is fixed, so that every group takes the same passes over the vectors.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     each = cut(rows.mapInArrow(_vectors, "doc_id long, lang string, source string, " + ", ".join(f"x{k} double" for k in range(P))))
@@ -174,24 +180,22 @@ def robust_distances(docs: DataFrame, h: float = 0.75, steps: int = 4, least: in
     estimate = cut(_first(spread))
     for _ in range(steps):
         d = F.greatest(_distance(), F.lit(1e-12))
-        binned = spread.join(estimate.select("grp", "start", "mean", "white"), "grp").withColumn("bin", F.floor(F.log2(d) * BINS).cast("int"))
+        binned = spread.join(counted(estimate.select("grp", "start", "mean", "white")), "grp").withColumn("bin", F.floor(F.log2(d) * BINS).cast("int"))
         sums = binned.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f"x{k}").alias(f"s{k}") for k in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in _PAIRS])
         estimate = cut(sums.groupBy("grp", "start").applyInPandas(_concentrate(h), _ESTIMATE))
-    best = estimate.groupBy("grp").agg(F.min_by(F.struct("n", "df", "mean", "white"), F.struct("logdet", "start")).alias("e")).select("grp", "e.*")
+    best = cut(estimate.groupBy("grp").agg(F.min_by(F.struct("n", "df", "mean", "white"), F.struct("logdet", "start")).alias("e")).select("grp", "e.*"))
     # the medians of the final estimates' distances
-    ranked = spread.join(best.select("grp", "mean", "white"), "grp").select("grp", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-12))) * BINS * 4).alias("bin"))
-    counted = ranked.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("c"))
-    from pyspark.sql import Window
-
+    ranked = spread.join(counted(best.select("grp", "mean", "white")), "grp").select("grp", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-12))) * BINS * 4).alias("bin"))
+    bins = ranked.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("c"))
     up = F.sum("c").over(Window.partitionBy("grp").orderBy("bin")) >= F.sum("c").over(Window.partitionBy("grp")) / 2
-    middle = counted.withColumn("up", up).where("up").groupBy("grp").agg(F.min("bin").alias("bin")).select("grp", F.pow(F.lit(2.0), (F.col("bin") + 0.5) / (BINS * 4)).alias("median"))
+    middle = bins.withColumn("up", up).where("up").groupBy("grp").agg(F.min("bin").alias("bin")).select("grp", F.pow(F.lit(2.0), (F.col("bin") + 0.5) / (BINS * 4)).alias("median"))
     df = F.greatest(F.lit(1.0), F.col("df"))
     scale = F.greatest(F.lit(0.5), F.col("median") / (df * F.pow(1 - 2 / (9 * df), F.lit(3))))
     final = cut(best.where((F.col("n") >= least) | (F.col("grp") == "0")).join(middle, "grp").withColumn("scale", scale))
     out = named
     for k, level in enumerate((2, 1, 0)):
         mine = final.where(F.col("grp").startswith(str(level))).select(F.col("grp").alias(f"g{level}"), F.struct("mean", "white", "scale").alias(f"e{level}"))
-        out = out.withColumn(f"g{level}", F.col("_grp")[k]).join(mine, f"g{level}", "left")
+        out = out.withColumn(f"g{level}", F.col("_grp")[k]).join(counted(mine), f"g{level}", "left")
     chosen = F.coalesce("e2", "e1", "e0")
     level = F.when(F.col("e2").isNotNull(), 2).when(F.col("e1").isNotNull(), 1).otherwise(0)
     out = out.withColumn("_level", level).withColumn("_e", chosen).select("doc_id", "lang", "source", F.col("_level").alias("level"), "_e.*", *[f"x{k}" for k in range(P)])

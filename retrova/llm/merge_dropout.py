@@ -303,7 +303,7 @@ def _symbols(v: Vocabulary, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarr
     return sym, row, size
 
 
-def encode(v: Vocabulary, buf: np.ndarray, offs: np.ndarray, who: np.ndarray, dropout: float = 0.1, seed: int = 0, variants: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode(v: Vocabulary, buf: np.ndarray, offs: np.ndarray, who: np.ndarray, dropout: float = 0.1, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all rows on end, and how many each has. `who`: each row's key, by which its units' merges are drawn."""
     rows = len(offs) - 1
     size = np.diff(offs)
@@ -326,10 +326,10 @@ def encode(v: Vocabulary, buf: np.ndarray, offs: np.ndarray, who: np.ndarray, dr
     name = K.mix((sums[end] - sums[start]) * K._pow_table(pow(K._BASE, -1, 1 << 64), n)[start] + (end - start).astype(U))
     row = np.searchsorted(new, start, side="right") - 1
     key = K.mix(name ^ U(seed * 0x2545F4914F6CDD1D % 2**64))
-    if dropout > 0 and variants != 1:
+    if dropout > 0:
         nth = np.arange(len(start)) - np.searchsorted(start, new[:-1])[row]
         place = K.mix(who[row] ^ K.mix(nth.astype(U) + U(seed % 2**63)))
-        key = K.mix(key + (place % U(variants) if variants else place))
+        key = K.mix(key + place)
     _, at, back = np.unique(name, return_index=True, return_inverse=True)
     # the distinct units' bytes on end
     width = (end - start)[at]
@@ -378,14 +378,14 @@ def decode(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarr
     return buf[keep], offs
 
 
-def _encoded(path: str, dropout: float, seed: int, variants: int | None):
+def _encoded(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
             for piece in K.slices(batch, limit=PIECE):
                 buf, offs = K.utf8(piece.column(1))
                 who = K.mix(piece.column(0).to_numpy().view(U))
-                ids, counts = encode(v, buf, offs, who, dropout, seed, variants)
+                ids, counts = encode(v, buf, offs, who, dropout, seed)
                 back, at = decode(v, ids, counts)
                 if np.array_equal(at, offs) and np.array_equal(back, buf):
                     same = np.ones(piece.num_rows, bool)
@@ -396,20 +396,20 @@ def _encoded(path: str, dropout: float, seed: int, variants: int | None):
     return run
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, lossless) of each document; `lossless` tells that the ids decode to the text.
 
     dropout 0 gives the model's own encoding (but for literal U+2581, which becomes
     bytes here). The same seed, doc_id and text give the same ids in any job.
-    Occurrences of a unit draw independently; with `variants` they share so many draws.
+    Occurrences of a unit draw independently of each other.
 
     An empty text has no ids. Rows with a null doc_id or text are left out. Repeated
     rows each give one, equal ones. Very long texts and units are encoded whole.
     No rows: none. Other columns are not read.
     """
-    if not 0 <= dropout < 1 or (variants is not None and variants < 1):
-        raise ValueError("dropout must be in [0, 1), variants 1 or more")
-    return usable(docs, id_col, text_col).mapInArrow(_encoded(path or default_model(), dropout, seed, variants), "doc_id long, n_tokens long, ids array<int>, lossless boolean")
+    if not 0 <= dropout < 1:
+        raise ValueError("dropout must be in [0, 1)")
+    return usable(docs, id_col, text_col).mapInArrow(_encoded(path or default_model(), dropout, seed), "doc_id long, n_tokens long, ids array<int>, lossless boolean")
 
 
 def decoded(ids: Column, path: str | None = None) -> Column:

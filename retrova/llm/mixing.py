@@ -13,13 +13,17 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .jobs import counted, cut
+
 SLICES = 4096
 FINE = 1 << 30
+WIDTH = FINE // SLICES
 
 
 @dataclass
@@ -97,50 +101,48 @@ def mixed(docs: DataFrame, sources: dict[str, Column], weights: dict[str, float]
 
     The token budget is `epochs` times the words of all documents in a source;
     source j gets weights[j] / sum(weights) of it, as far as its documents, each
-    taken `levels` times at most, can fill that. A predicate that is null is false.
-    Documents in no source come once (others="keep") or not at all ("drop").
+    taken `levels` times at most, can fill that; a warning names the sources that
+    lack tokens so, and how many. A predicate that is null is false. Documents in no
+    source come once (others="keep") or not at all ("drop").
 
     A text without words, or a null one, has no tokens: it comes as often as its
     pattern's documents do, but for the seeded extra copy. Rows equal in doc_id and
-    text, null or not, are treated alike. No rows: none. All columns of `docs` stay,
-    but for those that have a name of an added one, which are replaced.
+    text, null or not, are treated alike, as are others whose draws tie. Very long texts
+    count whole; where one holds more tokens than its slice still lacks, it comes or not
+    by its draw. No rows: none. All columns of `docs` stay, but for those that have a
+    name of an added one, which are replaced.
     """
     if others not in ("keep", "drop"):
         raise ValueError("others must be keep or drop")
     names = sorted(weights)
     if set(names) != set(sources) or min(weights.values(), default=0) < 0 or sum(weights.values()) <= 0:
         raise ValueError("weights must name the sources and be positive in sum")
+    spark = docs.sparkSession
     pattern = F.concat(*[F.when(sources[s], "1").otherwise("0") for s in names])
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(FINE))
-    each = docs.withColumns({"_pattern": pattern, "_tokens": word_count(F.col(text_col)), "_draw": draw})
-    slices = each.groupBy("_pattern", F.floor(F.col("_draw") / (FINE // SLICES)).cast("int").alias("slice")).agg(F.sum("_tokens").alias("tokens")).collect()  # SLICES rows a pattern
-    held: dict[str, list[int]] = {}
-    for r in slices:
-        held.setdefault(r["_pattern"], [0] * SLICES)[r["slice"]] += r["tokens"]
-    capacity = {p: float(sum(v)) for p, v in held.items()}
-    budget = epochs * sum(c for p, c in capacity.items() if "1" in p)
-    flow, _ = min_cost_flow(capacity, [budget * weights[s] / sum(weights.values()) for s in names], levels)
-    times, until = F.lit(0), F.lit(0)
-    for p in sorted(held):
-        if "1" not in p:
-            whole, place = (1 if others == "keep" else 0), 0
-        else:
-            rate = sum(flow[p]) / capacity[p] if capacity[p] else 0.0
+    kept = [c for c in docs.columns if c not in ("_pattern", "_tokens", "_copies")]
+    each = docs.select(F.struct(*kept).alias("row"), pattern.alias("pattern"), word_count(F.col(text_col)).alias("tokens"), draw.alias("draw"))
+    slices = cut(each.groupBy("pattern", F.floor(F.col("draw") / WIDTH).cast("int").alias("slice")).agg(F.sum("tokens").alias("tokens")))
+    held = {r["pattern"]: float(r["tokens"]) for r in slices.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).collect()}  # a row a pattern, as the network has a node
+    budget = epochs * sum(c for p, c in held.items() if "1" in p)
+    flow, lacks = min_cost_flow(held, [budget * weights[s] / sum(weights.values()) for s in names], levels)
+    if short := {s: round(x) for s, x in zip(names, lacks, strict=True) if x >= 1}:
+        warnings.warn(f"these sources lack tokens: {short}", stacklevel=2)
+    rates = []
+    for p, c in sorted(held.items()):
+        if "1" in p:
+            rate = sum(flow[p]) / c if c else 0.0
             whole = int(rate + 1e-9)
-            place = _place(held[p], max(0.0, rate - whole) * capacity[p])
-        times = F.when(F.col("_pattern") == p, whole).otherwise(times)
-        until = F.when(F.col("_pattern") == p, place).otherwise(until)
-    copies = times + (F.col("_draw") < until).cast("int")
-    return each.withColumn("_copies", copies).where("_copies > 0").select(*[c for c in docs.columns if c not in ("_pattern", "_tokens", "_draw", "_copies")], "_pattern", "_tokens", "_copies")
-
-
-def _place(tokens: list[int], want: float) -> int:
-    """The draw under which `want` tokens lie; within a slice in proportion."""
-    if want < 1e-6:
-        return 0
-    width = FINE // SLICES
-    for k, t in enumerate(tokens):
-        if want < t:
-            return k * width + int(width * want / t)
-        want -= t
-    return FINE
+            rates.append((p, whole, max(0.0, rate - whole) * c))
+        else:
+            rates.append((p, int(others == "keep"), 0.0))
+    rates = spark.createDataFrame(rates, "pattern string, whole int, want double")
+    # where in a pattern's slices the tokens that are wanted beyond whole times are reached; within a slice in proportion
+    order = Window.partitionBy("pattern").orderBy("slice")
+    part = slices.join(counted(rates.where("want >= 1e-6")), "pattern").withColumn("upto", F.sum("tokens").over(order))
+    reached = F.col("slice") * WIDTH + F.floor(WIDTH * (F.col("want") - F.col("upto") + F.col("tokens")) / F.col("tokens"))
+    until = part.where("upto > want").groupBy("pattern").agg(F.min_by(reached, F.col("slice")).alias("until"))
+    plan = rates.join(until, "pattern", "left").select("pattern", "whole", F.when(F.col("want") < 1e-6, 0).otherwise(F.coalesce("until", F.lit(FINE))).alias("until"))
+    copies = F.col("whole") + (F.col("draw") < F.col("until")).cast("int")
+    out = each.join(counted(cut(plan)), "pattern").withColumn("copies", copies).where("copies > 0")
+    return out.select("row.*", F.col("pattern").alias("_pattern"), F.col("tokens").alias("_tokens"), F.col("copies").alias("_copies"))

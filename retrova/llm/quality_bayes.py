@@ -155,11 +155,15 @@ def train(texts: list[str] | pa.ChunkedArray, good: np.ndarray, max_words: int =
     return Model(keys[picked], w[k:], mean, scale, w[1:k], float(w[0]))
 
 
-def train_on(docs: DataFrame, labels: DataFrame, good: Column, max_train: int = 4000) -> Model:
+def train_on(docs: DataFrame, labels: DataFrame, good: Column, max_train: int = 4000, max_words: int = 300) -> Model:
     """Trains on the texts of the `max_train` labelled doc_ids of the least hash; that bound is the sample's size.
 
+    `max_words` is the size of the model: how many words, those that tell most about
+    the label, have a weight of their own besides the shape statistics.
+
     Rows that lack a text or a label are left out; of repeated ones the least
-    counts. Without both labels among them the model says the same of all texts.
+    counts. Very long texts count whole. Without both labels among them, or without
+    rows, the model says the same of all texts. Other columns are not read.
     """
     picked = labels.select("doc_id", good.cast("int").alias("good")).dropna().groupBy("doc_id").agg(F.min("good").alias("good"))
     picked = picked.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_train)
@@ -167,7 +171,7 @@ def train_on(docs: DataFrame, labels: DataFrame, good: Column, max_train: int =
     sample = sample.toArrow().sort_by("doc_id")
     if not sample.num_rows:
         return Model(np.zeros(0, U), np.zeros(0), np.zeros(SHAPES), np.ones(SHAPES), np.zeros(SHAPES), 0.0)
-    return train(sample["text"], sample["good"].to_numpy())
+    return train(sample["text"], sample["good"].to_numpy(), max_words)
 
 
 def _scored(model: Model, text: str) -> Column:
@@ -193,7 +197,12 @@ def _strength(rates: DataFrame, rate: str, n: str, prior: Column) -> Column:
 
 
 def posterior_rates(scored: DataFrame) -> DataFrame:
-    """(host, path, path_rate, host_rate, global_rate) from rows (host, path, p)."""
+    """(host, path, path_rate, host_rate, global_rate) from rows (host, path, p), one row a host and path.
+
+    A host's rate is its mean p shrunk toward the global one, a path's toward its host's,
+    each by a Beta prior whose weight is a moment estimate over all hosts, or paths.
+    Repeated rows each count; nulls should be names of their own. No rows: none.
+    """
     paths = cut(scored.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count(F.lit(1)).cast("double").alias("n")))
     hosts = paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"))
     whole = paths.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("global_rate"))
@@ -242,7 +251,12 @@ def classify(docs: DataFrame, model: Model, host: Column | None = None, path: Co
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.6, host: Column | None = None, path: Column | None = None, text_col: str = "text") -> DataFrame:
-    """The documents whose posterior is `threshold` or more, with their own columns, whatever their names. Documents with a null text are rejected."""
+    """The documents whose posterior is `threshold` or more, with their own columns, whatever their names.
+
+    Documents with a null text are rejected, empty and very long ones judged like others.
+    Null hosts and paths are values of their own. Repeated rows are judged alike, and all
+    stay or go. No rows: none.
+    """
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
     packed = docs.select(F.struct(*docs.columns).alias("row"), host.alias("host"), path.alias("path"), F.col(text_col).alias("text"))
     return classify(packed, model, F.col("host"), F.col("path")).where((F.col("_quality") >= threshold) & F.col("text").isNotNull()).select("row.*")

@@ -22,7 +22,11 @@ def sources() -> dict[str, Column]:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects, null texts too."""
+    """Drops the documents that the quality classifier rejects, null texts too.
+
+    Empty and very long texts are judged like others, repeated rows alike; nulls of source
+    and lang are values of their own. Columns stay, whatever their names. No rows: none.
+    """
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     return keep_good(docs, train_on(docs, table(spark, sf_dir, "labels"), good, max_train=4000))
 
@@ -50,19 +54,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 words or more that occur earlier out of the texts; texts left without words go."""
+    """Cuts passages of 50 words or more that occur earlier out of the texts; texts left without words go.
+
+    Null ids or texts, and texts that were empty before, stay as they are; equal rows are
+    one text and cut alike; very long texts are taken whole. No rows: none.
+    """
     spans = cut(repeated_spans(docs, length=50, k=8))
     release(spark)
     return strip_spans(docs, spans)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Languages and long documents to their weights; a document that comes twice is two rows."""
+    """Languages and long documents to their weights; a document that comes twice is two rows.
+
+    Null and empty texts have no tokens and come as their pattern's other documents do;
+    a null lang is in no source and comes once. Equal rows are drawn alike, very long
+    texts whole. Columns stay, whatever their names. No rows: none.
+    """
     packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang")
     chosen = mixed(packed, sources(), WEIGHTS, epochs=EPOCHS, seed=17)
     return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, lossless) of each row."""
+    """(doc_id, n_tokens, ids, lossless) of each row that has a doc_id and a text; empty texts have no ids, equal rows equal ones, very long texts all of theirs. No rows: none."""
     return encode_documents(docs, dropout=0.1, seed=17)

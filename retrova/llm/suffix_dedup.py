@@ -89,22 +89,6 @@ def _anchor_rows(length: int, k: int):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors whose k-gram occurs more than once; whole k-grams come together."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    all_ = pa.Table.from_batches(got)
-    gram = all_.column(0).to_numpy()
-    order = np.argsort(gram)
-    g = gram[order]
-    same = g[1:] == g[:-1]
-    keep = np.zeros(len(g), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    yield from all_.select(["key", "doc_id", "text_hash", "place"]).take(pa.array(order[keep])).combine_chunks().to_batches(1 << 17)
-
-
 def _suffix_rows(length: int, k: int, splitters: np.ndarray):
     """One row an anchor: its bucket, the words of all its windows (32 bits each) and where they start."""
 
@@ -198,7 +182,9 @@ def _sort_bucket(length: int):
         if parts == 1:
             yield from ordered(t)
             return
-        part = K.mix(t.column("key").to_numpy().view(U)) % U(parts)
+        # a large bucket is sorted range by range, in the order of the leading words
+        key = t.column("key").to_numpy()
+        part = np.searchsorted(np.sort(key)[np.arange(1, parts) * len(key) // parts], key, side="right")
         for k in range(parts):
             if (part == k).any():
                 yield from ordered(t.filter(pa.array(part == k)))
@@ -264,23 +250,11 @@ def _spans(gone, first, row, shift, at, doc, text_hash, word, start, place, base
         yield pa.record_batch({"doc_id": doc[r[z]], "text_hash": text_hash[r[z]], "word": word[r[z]] + shift[head[z]], "word_end": word[r[z]] + shift[last[z]] + length, "start": begin[z], "end": end[z], "first_doc_id": first[z], "whole": pa.nulls(len(r[z]), pa.int64())})
 
 
-def _compare_across(length: int):
-    """Windows whose leading words cross boundaries; equal ones come together."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        whole, doc, text_hash, word = (t.column(c).to_numpy() for c in ("whole", "doc_id", "text_hash", "word"))
-        alive, group = equal_runs([whole])
-        if not len(alive):
-            return
-        gone, first = _repeats(group, doc[alive], text_hash[alive], word[alive], length)
-        out = t.select(["doc_id", "text_hash", "word", "word_end", "start", "end"]).take(pa.array(alive[gone])).append_column("first_doc_id", pa.array(first))
-        yield from out.combine_chunks().to_batches(1 << 17)
-
-    return run
+def _compare_across(windows: DataFrame, length: int) -> DataFrame:
+    """Windows whose leading words cross boundaries. The first of equal ones is a minimum, which tasks take of their own before rows meet; then each window is held against it."""
+    first = windows.groupBy("whole").agg(F.min(F.struct("doc_id", "text_hash", "word")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("whole", "first")
+    gone = windows.drop("first_doc_id").join(first, "whole").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("text_hash") != F.col("first.text_hash")) | (F.col("word") >= F.col("first.word") + length))
+    return gone.select("doc_id", "text_hash", "word", "word_end", "start", "end", F.col("first.doc_id").alias("first_doc_id"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, k: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,11 +275,13 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 8, id_col: str =
     if not 4 <= k <= length:
         raise ValueError("k must be from 4 to length")
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = partitions(spark, docs)
     texts = usable(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     rows = texts.mapInArrow(_anchor_rows(length, k), "gram long, key long, doc_id long, text_hash long, place long")
-    kept = cut(rows.repartition(parts, "gram").mapInArrow(_repeated, "key long, doc_id long, text_hash long, place long"))
-    del rows
+    # a k-gram that is in a third of all texts is one count a task; its rows are a skewed side that adaptive joins split
+    often = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    kept = cut(rows.join(often, "gram", "left_semi").drop("gram"))
+    del rows, often
     release(spark)
     splitters = kept.agg(F.percentile_approx("key", F.array(*[F.lit(i / parts) for i in range(1, parts)]), 10_000)).first()[0] if parts > 1 else []
     splitters = np.array(sorted(splitters or []), np.int64)
@@ -315,7 +291,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 8, id_col: str =
     found = cut(suffixes.repartitionById(parts, F.col("bucket")).mapInArrow(_sort_bucket(length), _SPANS + ", whole long"))
     del suffixes
     release(spark)
-    across = found.where("whole is not null").repartition(parts, "whole").mapInArrow(_compare_across(length), _SPANS)
+    across = _compare_across(found.where("whole is not null"), length)
     spans = found.where("whole is null").drop("whole").unionByName(across)
     order = Window.partitionBy("doc_id", "text_hash").orderBy("word", "word_end")
     reach = F.max("word_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -330,10 +306,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, k: int = 8, id_col: str =
 def strip_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the spans' characters, all other columns kept, whatever their names; texts without words left go.
 
-    n_chars, if there, is set anew. Rows that no span names, null ones among them,
-    stay as they are.
+    n_chars, if there, is set anew. Rows that no span names, null and empty ones among
+    them, stay as they are. Repeated rows (doc_id and text) are cut alike, very long
+    texts whole. Equal spans count once. No rows: none; no spans: all rows.
     """
-    cuts = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    cuts = spans.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
     cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_cuts")
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("_hash"))
     text, cut_ = F.col("text"), F.col("_cuts")
