@@ -38,11 +38,11 @@ def test_query_matches_sql(spark, db, sf_dir, name):
     assert rows_of(columns, got.collect()) == rows_of(columns, named)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL) - {"lsh_topk_recall"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_query_gives_rows(spark, sf_dir, name):
     assert queries.QUERIES[name](spark, sf_dir).count() > 0
 
 
-def test_hashing_keeps_recall(spark, sf_dir):
-    rows = queries.lsh_topk_recall(spark, sf_dir).collect()
-    assert sum(r["recall"] for r in rows) / len(rows) >= 0.9
+def test_index_keeps_recall_and_scores_few(spark, sf_dir):
+    rows = queries.ann_topk_recall(spark, sf_dir).collect()
+    assert sum(r["recall"] for r in rows) / len(rows) >= 0.9 and max(r["scored_share"] for r in rows) < 0.2
