@@ -58,7 +58,7 @@ def results(chunks: DataFrame, queries: list[Query], k: int, index: lexical.Text
     out = None
     for (has_text, dim, filters, doc_id, alpha, limit, top_k), own in groups.items():
         request = SearchRequest(text="x" if has_text else None, vector=[0.0] * dim if dim else None, top_k=top_k, alpha=alpha, candidate_limit=limit, filters=dict(filters), doc_id=doc_id)
-        rows = chunks.sparkSession.createDataFrame([(q.id, q.text, q.vector) for q in own], "query_id string, text string, embedding array<float>")
+        rows = chunks.sparkSession.createDataFrame([(q.id, q.text, [float(x) for x in q.vector] if q.vector is not None else None) for q in own], "query_id string, text string, embedding array<float>")
         found = search_batch(chunks, rows, request, index).select("query_id", F.col("chunk_id").alias("id"), "rank")
         out = found if out is None else out.unionByName(found)
     return out
