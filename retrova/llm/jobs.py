@@ -56,3 +56,10 @@ def usable(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more
 def counted(rows: DataFrame, limit: int = 50_000) -> DataFrame:
     """For a join: broadcast if it has been counted to be no more than `limit` rows, else left to a shuffle. `rows` should be cheap to count, as a cut one is."""
     return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts go to Python in Arrow batches of at most so many rows, as a batch is held by the JVM and by Python at once. A lesser setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)

@@ -311,7 +311,10 @@ def encode(v: Vocabulary, buf: np.ndarray, offs: np.ndarray, who: np.ndarray, dr
     new = np.zeros(rows + 1, np.int64)
     np.cumsum(size + lead, out=new[1:])
     text = np.full(new[-1], 32, np.uint8)
-    text[np.arange(len(buf)) + np.repeat(new[:-1] - offs[:-1] + lead, size)] = buf
+    own = np.ones(len(text), bool)
+    own[new[:-1][lead]] = False
+    text[own] = buf
+    del own
     n = len(text)
     if not n:
         return np.zeros(0, np.int32), np.zeros(rows, np.int64)
@@ -322,8 +325,13 @@ def encode(v: Vocabulary, buf: np.ndarray, offs: np.ndarray, who: np.ndarray, dr
     start = np.flatnonzero(edge)
     end = np.append(start[1:], n)
     sums = np.zeros(n + 1, U)
-    np.cumsum((text.astype(U) + U(1)) * K._pow_table(K._BASE, n), out=sums[1:])
+    value = text.astype(U)
+    value += U(1)
+    value *= K._pow_table(K._BASE, n)
+    np.cumsum(value, out=sums[1:])
+    del value, space, feed, edge
     name = K.mix((sums[end] - sums[start]) * K._pow_table(pow(K._BASE, -1, 1 << 64), n)[start] + (end - start).astype(U))
+    del sums
     row = np.searchsorted(new, start, side="right") - 1
     key = K.mix(name ^ U(seed * 0x2545F4914F6CDD1D % 2**64))
     if dropout > 0:

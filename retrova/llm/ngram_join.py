@@ -41,7 +41,7 @@ from .jobs import cut, partitions, release, usable
 
 U = np.uint64
 #: Entries that a task holds before it writes tiles.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Pairs that are multiplied at once.
 PAIRS = 2_000_000
 #: Sets of a block's tile; an n-gram that more sets have in their prefixes is compared tile by tile.
@@ -287,7 +287,7 @@ def _prefixes(num: int, den: int, hot: int):
             times, part = _part(flat[take], own, hot)
             ends, lo = np.cumsum(times), 0
             while lo < len(take):
-                to = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + FLUSH // 8, side="right")))
+                to = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + FLUSH // 4, side="right")))
                 row = np.repeat(np.arange(lo, to), times[lo:to])
                 other, here = K.ragged(times[lo:to]), take[row]
                 out = {"gram": flat[here], "pair": np.minimum(part[row], other) * times[row] + np.maximum(part[row], other), "set_id": own[row], "size": size[row], "place": place[here]}

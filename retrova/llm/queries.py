@@ -16,7 +16,8 @@ from .ngram_join import jaccard_links
 from .phrases import fingerprints
 from .quality_bayes import classify, train_on
 from .suffix_dedup import repeated_spans
-from .url_filter import SOFT, STRICT, url_scores
+from .url_filter import url_scores
+from .url_terms import SOFT, STRICT
 
 WORDS = "list_filter(string_split_regex(text, '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"
 
@@ -111,7 +112,7 @@ def _op5_sql() -> str:
     rows = ", ".join([*(f"('{t}', TRUE, 0.0)" for t in sorted(STRICT)), *(f"('{t}', FALSE, {w})" for t, w in sorted(SOFT.items()))])
     return f"""
 WITH v(term, strict, weight) AS (VALUES {rows}),
-u AS (SELECT row_number() OVER () AS r, page_id, url, regexp_replace(lower(coalesce(url, '')), '([^a-z0-9])', '\\1\\1', 'g') AS x FROM pages),
+u AS (SELECT row_number() OVER () AS r, page_id, url, regexp_replace(regexp_replace(lower(coalesce(url, '')), '%[0-9a-f]{{2}}', '%', 'g'), '([^a-z0-9])', '\\1\\1', 'g') AS x FROM pages),
 h AS (SELECT r, strict, weight, len(regexp_extract_all(x, '(^|[^a-z0-9])' || replace(replace(term, '-', '--'), '_', '__') || '([^a-z0-9]|$)')) AS n FROM u, v),
 s AS (SELECT r, sum(CASE WHEN strict THEN n ELSE 0 END)::BIGINT AS n_strict, count(*) FILTER (NOT strict AND n > 0) AS n_soft,
         coalesce(sum(weight) FILTER (NOT strict AND n > 0), 0)::DOUBLE AS weight FROM h GROUP BY r)

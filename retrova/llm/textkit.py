@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,6 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
 CHUNK_BYTES = 1 << 20
 
-_libc = ctypes.CDLL(None)
-if hasattr(_libc, "mallopt"):
-    _libc.mallopt(-3, 1 << 20)  # arrays of 1 MB or more go back to the system as soon as they are freed
-
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -69,8 +66,17 @@ def utf8(col) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
+@cache
+def _lean() -> None:
+    """In a task's process, arrays of 1 MB or more go back to the system as soon as they are freed."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows into pieces of about `limit` bytes of text."""
+    _lean()
     n = batch.num_rows
     if not n:
         return
@@ -105,9 +111,14 @@ class Tokens:
         self.end = np.flatnonzero(~space & edge[1:]) + 1
         sums = np.empty(n + 1, dtype=U)
         sums[0] = 0
-        np.cumsum((buf.astype(U) + U(1)) * _pow_table(_BASE, n), out=sums[1:])
+        value = buf.astype(U)
+        value += U(1)
+        value *= _pow_table(_BASE, n)
+        np.cumsum(value, out=sums[1:])
+        del value, space, edge
         inverse = pow(_BASE, -1, 1 << 64)
         self.hash = mix((sums[self.end] - sums[self.start]) * _pow_table(inverse, n)[self.start] + (self.end - self.start).astype(U))
+        del sums
         self.first = np.searchsorted(self.start, offs)
 
     @property

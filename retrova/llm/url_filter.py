@@ -1,13 +1,14 @@
 """URL filters: a weighted vocabulary of strict and soft terms, found by Aho-Corasick with boundary checks.
 
 One automaton finds all terms of a URL in one pass. A term counts where no ASCII
-letter or digit is beside it. One strict term rejects the URL, and so do
+letter or digit is beside it; an escape (%2F, %20) is a separator. One strict term rejects the URL, and so do
 `soft_limit` different soft terms, or soft terms whose weights, each counted once,
 reach `weight_limit`.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Terms for web corpora: the production vocabulary of `op5_url_filter`.
-STRICT = ("adult", "casino", "cheap-pills", "hardcore", "malware", "phishing", "porn", "spam-farm", "viagra", "warez", "xxx")
-SOFT = {"ads": 1.0, "bonus": 1.0, "buy": 1.0, "cheap": 1.0, "click": 1.0, "coupon": 1.0, "deal": 1.0, "farm": 0.5, "feed": 0.5, "free": 1.0, "pills": 1.5, "promo": 1.0, "ref": 0.5, "sale": 1.0, "spam": 1.5, "utm_source": 0.5, "win": 1.0}
+from .url_terms import SOFT, STRICT
+
+_ESCAPE = re.compile("%[0-9a-f]{2}")
 
 
 @lru_cache(maxsize=8)
@@ -58,7 +59,7 @@ def _rows(strict: tuple[str, ...], soft: tuple[tuple[str, float], ...], soft_lim
         for batch in batches:
             n_strict, n_soft, weight = [], [], []
             for url in batch.column(1).to_pylist():
-                got = hits(url.translate(lower), automaton) if url else {}
+                got = hits(_ESCAPE.sub("%", url.translate(lower)), automaton) if url else {}
                 n_strict.append(sum(c for k, c in got.items() if k < len(strict)))
                 soft_hits = sorted(k - len(strict) for k in got if k >= len(strict))
                 n_soft.append(len(soft_hits))
@@ -73,7 +74,7 @@ def url_scores(pages: DataFrame, strict: tuple[str, ...] = STRICT, soft: dict[st
     """(page_id, url, n_strict, n_soft, weight, rejected) of each row.
 
     n_strict counts the strict hits, n_soft the different soft terms, weight sums
-    these terms' weights. Matching ignores the case of ASCII letters; terms must be
+    these terms' weights. The terms are by default those of `url_terms`. Matching ignores the case of ASCII letters; terms must be
     in lower case. A null or empty URL has no hits and is not rejected. A null
     page_id stays. Repeated rows each give one. Very long URLs are searched whole.
     No rows: none. Other columns are not read.

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from retrova.llm import licence_scan, licences, mcd_rules, merge_dropout, mixing, phrases, quality_bayes, stages, url_filter
+from retrova.llm import licence_scan, licences, mcd_rules, merge_dropout, mixing, phrases, quality_bayes, stages, url_filter, url_terms
 from retrova.llm import textkit as K
 from retrova.llm.line_dedup import repeated_units
 from retrova.llm.ngram_join import jaccard_join, jaccard_links, near_groups
@@ -405,9 +405,8 @@ def test_outliers_are_judged_by_the_core_and_not_by_the_floor(spark):
 
 
 def brute_url(url, strict, soft):
-    import re
-
     url = (url or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    url = re.sub("%[0-9a-f]{2}", "%", url)
     count = lambda t: len(re.findall(rf"(?=(?<![a-z0-9]){re.escape(t)}(?![a-z0-9]))", url))
     hit = [t for t in soft if count(t)]
     return sum(map(count, strict)), len(hit), sum(soft[t] for t in hit)
@@ -416,7 +415,7 @@ def brute_url(url, strict, soft):
 def test_url_filter(spark):
     strict, soft = ("casino", "bad-site"), {"buy": 1.0, "free": 1.0, "win": 0.5, "bad": 2.0}
     r = random.Random(6)
-    bits = ["casino", "casinos", "bad-site", "bad", "buy", "free", "FREE", "win", "/", "-", ".", "é", "ok", "http://", "_"]
+    bits = ["casino", "casinos", "bad-site", "bad", "buy", "free", "FREE", "win", "/", "-", ".", "é", "ok", "http://", "_", "%2F", "%20", "%e9"]
     urls = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(500)] + [None, "", "a/" * 50_000 + "casino"]
     pages = spark.createDataFrame([(i % 400 if i % 7 else None, u, "x", "mine") for i, u in enumerate(urls)], "page_id long, url string, html string, rejected string")
     got = url_filter.url_scores(pages, strict, soft, soft_limit=3, weight_limit=3.0).collect()
@@ -427,6 +426,12 @@ def test_url_filter(spark):
     assert url_filter.url_scores(pages.limit(0)).count() == 0
 
 
+def test_url_terms(tmp_path):
+    assert len(url_terms.STRICT) > 100 and len(url_terms.SOFT) > 80 and not set(url_terms.STRICT) & set(url_terms.SOFT)
+    (tmp_path / "t.tsv").write_text("gambling\tcasino\t\nspam\tfree\t1.5\n")
+    assert url_terms.load(str(tmp_path / "t.tsv")) == (("casino",), {"free": 1.5})
+
+
 # mixing
 
 
