@@ -12,12 +12,13 @@ from .functions import text as T
 from .functions import vectors as V
 from .operators import chunks as C
 from .operators import evaluate, fusion, knn, lexical, reports
-from .plans import rewrite
+from .plans import evaluation, rewrite
 from .plans.ddl import Catalog
 from .plans.request import SearchRequest
-from .plans.search import search
+from .plans.search import search, search_batch
 from .sources import chunking, importers
 from .storage import exists, shared_folder, version
+from .store import Tools, temporary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -381,6 +382,27 @@ cand AS (SELECT id FROM (SELECT id, round(coalesce(v, 0), 6) AS v, round({h}, 6)
 _api("search_api_hybrid_balanced", SearchRequest(text=TEXT, vector=VECTOR, top_k=10, alpha=0.5), _hybrid_oracle(_BAL.format(h="0.5 * coalesce(v, 0)"), "0.5 * v + 0.5 * t").replace("coalesce(ms.t, ", "coalesce(CASE WHEN (SELECT count(*) FROM vl) < 1000 THEN ms.t END, "))
 
 
+@query(f"""
+WITH {CT}, st AS (SELECT count(*)::DOUBLE AS n, avg(len(tok)) AS avgdl FROM ct),
+po AS (SELECT id, len(tok)::DOUBLE AS dl, t AS term, count(*)::DOUBLE AS tf FROM (SELECT id, tok, unnest(tok) AS t FROM ct) GROUP BY ALL),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM po GROUP BY term),
+q AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text, list_distinct({TOK.format('text')}) AS terms, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON item_id = vec_id),
+cand AS (SELECT query_id, id, near AS v FROM (SELECT query_id, c.id, round(list_cosine_similarity(c.embedding, q.v), 6) AS near FROM q JOIN ct c ON c.embedding IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY near DESC, id) <= 40),
+s AS (SELECT query_id, id, round(sum(CASE WHEN (n - df + 0.5) / (df + 0.5) <= 1 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25
+      FROM cand JOIN (SELECT query_id, unnest(terms) AS term FROM q) t USING (query_id) JOIN po USING (id, term) JOIN df USING (term), st GROUP BY query_id, id),
+m AS (SELECT query_id, id, 1 / (1 + max(bm25) OVER (PARTITION BY query_id) - bm25) AS t FROM s),
+x AS (SELECT cand.query_id, cand.id, cand.v, coalesce(m.t, least(1.0, len(list_filter(q.terms, lambda w: list_contains(ct.tok, w))) / len(q.terms)::DOUBLE + CASE WHEN contains(lower(ct.content), lower(q.text)) THEN 0.15 ELSE 0 END)) AS t
+      FROM cand JOIN q USING (query_id) JOIN ct USING (id) LEFT JOIN m ON m.query_id = cand.query_id AND m.id = cand.id),
+f AS (SELECT query_id, id AS chunk_id, v AS vector_score, round(t, 6) AS text_score, round(0.65 * v + 0.35 * t, 6) AS hybrid_score FROM x)
+SELECT query_id, chunk_id, vector_score, text_score, hybrid_score, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, vector_score DESC, text_score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10""")
+def search_batch_hybrid(spark, sf_dir):
+    """Every item of the benchmark that has a vector, by text and vector at once."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    asked = table(spark, sf_dir, "benchmark").join(vectors, "item_id").select(F.col("item_id").alias("query_id"), "text", "embedding")
+    found = search_batch(C.from_tables(spark, sf_dir), asked, SearchRequest(text="x", vector=VECTOR, top_k=10), text_index(spark, sf_dir))
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 def _scored(spark, sf_dir) -> DataFrame:
     """The 200 nearest chunks with both scores: fusion ranks candidates, not the corpus."""
     ch = C.with_size(C.from_tables(spark, sf_dir), DIM)
@@ -479,6 +501,29 @@ def diagnostics(spark, sf_dir):
     return C.diagnostics(C.from_tables(spark, sf_dir))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, source AS doc_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS place FROM documents WHERE doc_id % 20 = 0")
+def lookup_ids(spark, sf_dir):
+    """The chunks whose id is divisible by 20, in falling order."""
+    ch = texts(spark, sf_dir)
+    top = (ch.agg(F.max("rowid")).first()[0] or 0) // 20
+    ids = spark.range(top + 1).select(F.col("id").alias("place"), ((top - F.col("id")) * 20).cast("string").alias("id"))
+    return C.lookup(ch, ids).select("id", "doc_id", "place")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN '{\"kind\":\"' || lang || '\"}' ELSE '{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}' END AS metadata FROM documents")
+def update_metadata(spark, sf_dir):
+    new = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("id"), F.to_json(F.struct(F.col("lang").alias("kind"))).alias("json"))
+    return C.set_metadata(texts(spark, sf_dir), new).select("id", "metadata")
+
+
+@query("WITH k AS (SELECT max(doc_id) AS doc_id, source FROM documents GROUP BY source, n_chars % 97) SELECT source AS document, count(*) AS chunks FROM k GROUP BY source")
+def compact_chunks(spark, sf_dir):
+    """Deduplicated chunks, and the documents that still have some, out of all the sources and one that has none."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("id")).distinct().union(spark.createDataFrame([("empty",)], "id string"))
+    kept, left = C.compact(_hashed(spark, sf_dir), docs)
+    return kept.groupBy(F.col("doc_id").alias("document")).agg(F.count(F.lit(1)).alias("chunks")).join(left.select(F.col("id").alias("document")), "document")
+
+
 # evaluation and reports
 
 
@@ -498,6 +543,33 @@ def eval_metrics_at_k(spark, sf_dir):
     return evaluate.metrics_at_k(results, results.select("query_id", "id").join(good, "id").select("query_id", "id"), [1, 3, 5, 10])
 
 
+_METRICS = """,
+sz AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1), qs AS (SELECT DISTINCT query_id FROM rel),
+g AS (SELECT query_id, coalesce(n, 0) AS n, k FROM qs LEFT JOIN sz USING (query_id), (SELECT unnest([1, 3, 5]) AS k)),
+h AS (SELECT g.query_id, n, k, count(rank) AS hits, min(rank) AS first, coalesce(sum(1 / log2(rank + 1)), 0) AS dcg FROM g LEFT JOIN (SELECT query_id, rank FROM r JOIN rel USING (query_id, id)) x ON g.query_id = x.query_id AND rank <= k GROUP BY ALL)
+SELECT k::INT AS k, round(avg(hits / n), 6) AS recall, round(avg(hits / k), 6) AS "precision", round(avg(coalesce(1 / first, 0)), 6) AS mrr,
+round(avg(dcg / list_sum(list_transform(range(1, least(n, k) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg, round(avg(CASE WHEN hits > 0 THEN 1 ELSE 0 END), 6) AS hit_rate FROM h GROUP BY k"""
+
+
+@query(f"WITH {CH}, q AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, c.id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(c.embedding, q.v), 6) DESC, c.id) AS rank FROM q JOIN chunks c ON c.embedding IS NOT NULL QUALIFY rank <= 5), rel AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(e.vec_id AS VARCHAR) AS id FROM q JOIN embeddings e ON q.label = e.label)" + _METRICS)
+def eval_run(spark, sf_dir):
+    """An evaluation of the vectors whose id is divisible by 20 against all chunks; those of their label are relevant."""
+    e = table(spark, sf_dir, "embeddings")
+    rel = e.groupBy("label").agg(F.collect_list(F.col("vec_id").cast("string")).alias("relevant"))
+    rows = e.where("vec_id % 20 = 0").join(rel, "label").select("vec_id", "embedding", "relevant").collect()  # the dataset's queries
+    asked = [evaluation.Query(str(r["vec_id"]), list(r["relevant"]), vector=list(r["embedding"])) for r in rows]
+    return evaluation.run(C.from_tables(spark, sf_dir), asked, [1, 3, 5])[0]
+
+
+@query(f"WITH {CH}, s AS (SELECT id AS chunk_id, doc_id, {COS} AS vector_score FROM chunks WHERE embedding IS NOT NULL AND lang = 'en' ORDER BY vector_score DESC, id LIMIT 10) SELECT *, vector_score AS hybrid_score FROM s")
+def tool_search(spark, sf_dir):
+    """All documents put into a store, which is asked by the tool of that name."""
+    store = temporary(spark, shared_folder(spark))
+    store.ingest(C.from_tables(spark, sf_dir))
+    said = Tools(store).call("search", {"query_embedding": VECTOR, "top_k": 10, "metadata_filters": {"lang": "en"}})
+    return spark.createDataFrame([(r["chunk_id"], r["doc_id"], r["vector_score"], r["hybrid_score"]) for r in said["payload"]], "chunk_id string, doc_id string, vector_score double, hybrid_score double")
+
+
 @query("""
 WITH v AS (SELECT vec_id AS id, label AS query_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS a, row_number() OVER (PARTITION BY label ORDER BY vec_id % 7, vec_id) AS b FROM embeddings)
 SELECT query_id, sum(CASE WHEN b <= 10 THEN 1 ELSE 0 END) / count(*)::DOUBLE AS recall, max(CASE WHEN a = 1 AND b = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS top1 FROM v WHERE a <= 10 GROUP BY query_id""")
@@ -638,10 +710,12 @@ def _import_query(name: str, source: str, record: Callable[[DataFrame], DataFram
 _IMPORTED = f"WITH {CH} SELECT id, doc_id, content, len(embedding)::INT AS dims, round(sqrt(list_inner_product(embedding, embedding)), 4) AS length, lang AS source, {{}} AS doc_source FROM chunks WHERE embedding IS NOT NULL"
 _lang = F.get_json_object
 _import_query("import_pgvector_shape", "pgvector", lambda c: c.select(F.col("rowid").alias("line"), F.to_json(F.struct("id", "doc_id", "content", F.from_json("metadata", "map<string,string>").alias("metadata"), "embedding", F.get_json_object("metadata", "$.lang").alias("source"), F.lit("made").alias("doc_source"))).alias("value")), _IMPORTED.format("'made'"))
+_import_query("import_weaviate_shape", "weaviate", lambda c: c.select(F.col("rowid").alias("line"), F.to_json(F.struct("id", F.struct("doc_id", "content", F.get_json_object("metadata", "$.lang").alias("source")).alias("properties"), F.col("embedding").alias("vector"))).alias("value")), _IMPORTED.format("lang"))
+_import_query("import_milvus_shape", "milvus", lambda c: c.select(F.col("rowid").alias("line"), F.to_json(F.struct("id", "doc_id", "content", F.from_json("metadata", "map<string,string>").alias("metadata"), "embedding", F.get_json_object("metadata", "$.lang").alias("source"))).alias("value")), _IMPORTED.format("lang"))
 _import_query("import_qdrant_shape", "qdrant", lambda c: c.select(F.col("rowid").alias("line"), F.to_json(F.struct("id", F.struct("doc_id", "content", F.get_json_object("metadata", "$.lang").alias("source")).alias("payload"), F.col("embedding").alias("vector"))).alias("value")), _IMPORTED.format("lang"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('by_vector', 'vector', 'chunks', 'embedding', 'hnsw', '{"ef_construction": 64, "m": 16}', 'active'), ('by_text', 'text', 'chunks', 'content', 'fts5', '{}', 'active')) AS t(name, index_kind, table_name, column_name, using_engine, options_json, status)""")
 def index_catalog(spark, sf_dir):
     view(spark, sf_dir)
     catalog = Catalog()
@@ -650,7 +724,7 @@ def index_catalog(spark, sf_dir):
     return catalog.table(spark)
 
 
-@query()
+@query("SELECT 'brute_force_fallback' AS vector_path, 'vector_only' AS fusion_mode, TRUE AS tie_break")
 def explain_retrieval(spark, sf_dir):
     view(spark, sf_dir)
     said = Catalog().explain(spark, f"EXPLAIN RETRIEVAL SELECT id, embedding <=> {_V} AS d FROM chunks WHERE embedding IS NOT NULL ORDER BY d, id LIMIT 5")
@@ -694,6 +768,10 @@ _plain("sql_setop_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_part
 _plain("sql_window_rank", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS nt FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)")
 _plain("sql_window_shift", "SELECT o_orderkey, lag(o_orderkey) OVER w AS before, lead(o_orderkey, 2) OVER w AS after, first_value(o_orderkey) OVER w AS first FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 _plain("sql_window_frame", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS mean FROM events")
+_plain("sql_window_range", "SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_suppkey ORDER BY l_quantity RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS n, percent_rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS pr, cume_dist() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS cd FROM lineitem")
+_QUOTED = "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS y, CAST(extract(MONTH FROM o_orderdate) AS BIGINT) AS m, count(*) AS n, CAST(max(datediff({})) AS BIGINT) AS days FROM orders GROUP BY 1, 2, 3"
+_plain("sql_dates", _QUOTED.format("CAST(o_orderdate AS DATE), DATE '1990-01-01'"))
+SQL["sql_dates"] = _QUOTED.format("'day', DATE '1990-01-01', CAST(o_orderdate AS DATE)")
 _plain("sql_group_having", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 6) AS discount FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 100")
 _plain("sql_distinct", "SELECT DISTINCT p_brand, p_size FROM part")
 _plain("sql_group_concat", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
