@@ -8,10 +8,13 @@ embedding ARRAY<FLOAT>, created_at LONG). A chunk without a vector has a null on
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 COLUMNS = ("rowid", "id", "doc_id", "content", "metadata", "embedding", "created_at")
 SCHEMA = "rowid long, id string, doc_id string, content string, metadata string, embedding array<float>, created_at long"
 
@@ -67,6 +70,19 @@ def lookup(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     return chunks.join(ids, "id").orderBy("place")
 
 
+def numbered(rows: DataFrame, by: str) -> DataFrame:
+    """The rows with `nth`, 1 and up in the order of `by`: sorted by ranges, each range numbered by itself after the counts of those before it."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
+    # written, as the ranges are sampled anew each time they are worked out
+    rows.repartitionByRange(by).sortWithinPartitions(by).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_place")).write.parquet(path)
+    own = spark.read.parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))  # a row a range
+    place = F.col("_place") - F.shiftleft(F.col("_range").cast("long"), 33)
+    return own.join(F.broadcast(counts), "_range").withColumn("nth", F.col("_before") + place + 1).drop("_range", "_place", "_before")
+
+
 def upsert(chunks: DataFrame, changes: DataFrame) -> DataFrame:
     """Changes (seq, id, doc_id, content, metadata, embedding) into chunks: the last of an id wins; rowid and created_at of known ids stay.
 
@@ -75,7 +91,8 @@ def upsert(chunks: DataFrame, changes: DataFrame) -> DataFrame:
     last = changes.groupBy("id").agg(F.max_by(F.struct("doc_id", "content", "metadata", "embedding"), "seq").alias("c"), F.min("seq").alias("first"), F.max("seq").alias("last"))
     joined = chunks.join(last, "id", "full")
     top = chunks.agg(F.coalesce(F.max("rowid"), F.lit(0)).alias("top"), F.coalesce(F.max("created_at"), F.lit(0)).alias("now"))
-    new = last.join(chunks.select("id"), "id", "left_anti").select("id", F.row_number().over(Window.orderBy("first")).alias("nth"))
+    new = last.join(chunks.select("id"), "id", "left_anti").select("id", "first")
+    new = numbered(new, "first").select("id", "nth")
     joined = joined.join(new, "id", "left").crossJoin(F.broadcast(top))  # one row
     pick = lambda c: F.when(F.col("c").isNotNull(), F.col(f"c.{c}")).otherwise(F.col(c)).alias(c)
     return joined.select(F.coalesce("rowid", F.col("top") + F.col("nth")).alias("rowid"), "id", pick("doc_id"), pick("content"), pick("metadata"), pick("embedding"), F.coalesce("created_at", F.col("now") + F.col("nth")).alias("created_at"))

@@ -466,11 +466,12 @@ def orphan_documents(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS id, arg_max(turn, conv_id * 1000 + turn) AS t, arg_max(text, conv_id * 1000 + turn) AS content FROM (SELECT conv_id AS doc_id, conv_id, turn, text FROM conversations) GROUP BY 1)
-SELECT coalesce(d.id, c.id) AS id, coalesce(c.content, d.content) AS content FROM (SELECT CAST(doc_id AS VARCHAR) AS id, text AS content FROM documents) d FULL JOIN c ON d.id = c.id""")
+WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS id, min(conv_id * 1000 + turn) AS first, arg_max(text, conv_id * 1000 + turn) AS content FROM (SELECT conv_id AS doc_id, conv_id, turn, text FROM conversations) GROUP BY 1)
+SELECT coalesce(d.id, c.id) AS id, coalesce(c.content, d.content) AS content, coalesce(d.doc_id, t + row_number() OVER (PARTITION BY d.doc_id IS NULL ORDER BY first)) AS rowid, coalesce(d.n_chars, n + row_number() OVER (PARTITION BY d.doc_id IS NULL ORDER BY first)) AS created_at
+FROM (SELECT CAST(doc_id AS VARCHAR) AS id, text AS content, doc_id, n_chars FROM documents) d FULL JOIN c ON d.id = c.id, (SELECT max(doc_id) AS t, max(n_chars) AS n FROM documents)""")
 def upsert_last_wins(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("conv_id").cast("string").alias("id"), F.lit("conv").alias("doc_id"), F.col("text").alias("content"), F.lit("{}").alias("metadata"), F.lit(None).cast("array<float>").alias("embedding"))
-    return C.upsert(C.from_tables(spark, sf_dir), conv).select("id", "content")
+    return C.upsert(texts(spark, sf_dir), conv).select("id", "content", "rowid", "created_at")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE lang <> 'de'")
