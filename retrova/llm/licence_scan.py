@@ -210,7 +210,7 @@ def _background(per_document: int):
                     lines.append(x)
             yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "x": pa.array(lines, pa.string())})
 
-    return run
+    return K.tidy(run)
 
 
 def background(docs: DataFrame, max_background: int, per_document: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,7 +267,7 @@ def _scan(model: Model, confirm: float):
                     "template": pa.array([model.names[t] if t >= 0 else None for t in template], pa.string()), "overlap": overlap, "confirmed": overlap >= confirm,
                 })
 
-    return run
+    return K.tidy(run)
 
 
 def licence_scan(docs: DataFrame, model: Model, confirm: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -71,7 +71,7 @@ def _units(unit: str):
                 whole = lambda x: pa.array(x, pa.int32())
                 yield pa.record_batch({"digest": pa.array(digests, pa.binary()), "doc_id": ids, "rank": ranks, "text_hash": pa.array(hashes, pa.uint64()).view(pa.int64()), "seq": whole(seq), "unit_no": whole(number), "start": whole(start), "n_chars": whole(size), "n_words": whole(count)})
 
-    return run
+    return K.tidy(run)
 
 
 def units(docs: DataFrame, unit: str = "line", id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None) -> DataFrame:

@@ -174,7 +174,7 @@ def robust_distances(docs: DataFrame, h: float = 0.75, steps: int = 4, least: in
     is fixed, so that every group takes the same passes over the vectors.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    each = cut(rows.mapInArrow(_vectors, "doc_id long, lang string, source string, " + ", ".join(f"x{k} double" for k in range(P))))
+    each = cut(rows.mapInArrow(K.tidy(_vectors), "doc_id long, lang string, source string, " + ", ".join(f"x{k} double" for k in range(P))))
     named = each.withColumn("_grp", _levels("lang", "source"))
     spread = named.select(F.explode("_grp").alias("grp"), *[f"x{k}" for k in range(P)])
     estimate = cut(_first(spread))

@@ -36,7 +36,7 @@ NONE = np.int32(2**31 - 1)
 #: Symbols of a unit from which its agenda is a heap of its own.
 LONG = 64
 #: Bytes of text whose units are worked off together.
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Draws of occurrences that are compared at a time.
 DRAWS = 1 << 20
 
@@ -401,7 +401,7 @@ def _encoded(path: str, dropout: float, seed: int):
                     same = np.array([np.array_equal(back[at[i] : at[i + 1]], buf[offs[i] : offs[i + 1]]) for i in range(piece.num_rows)], bool)
                 yield pa.record_batch({"doc_id": piece.column(0), "n_tokens": counts, "ids": K.lists(ids, counts), "lossless": same})
 
-    return run
+    return K.tidy(run)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

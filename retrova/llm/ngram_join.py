@@ -113,7 +113,7 @@ def _members(n: int):
                 keep = counts > 0
                 yield pa.record_batch({"doc_id": piece.column(0).filter(pa.array(keep)), "set_id": digest[keep].view(np.int64), "size": counts[keep].astype(np.int64)})
 
-    return run
+    return K.tidy(run)
 
 
 def _column_tiles(n: int, parts: int):
@@ -150,7 +150,7 @@ def _column_tiles(n: int, parts: int):
         if total:
             yield from flush(held)
 
-    return run
+    return K.tidy(run)
 
 
 def _count_columns(parts: int):
@@ -219,7 +219,7 @@ def _count_columns(parts: int):
             tiles.append(np.array([len(first), hi - lo], np.uint32).tobytes() + d[lo:hi][first].tobytes() + size[row[lo:hi][first]].tobytes() + count.tobytes() + weight[lo:hi].tobytes() + key[lo:hi].tobytes())
         yield pa.record_batch({"block": pa.array(ids, pa.int32()), "tile": pa.array(tiles, pa.binary())})
 
-    return run
+    return K.tidy(run)
 
 
 def _survivors(num: int, den: int):
@@ -260,7 +260,7 @@ def _survivors(num: int, den: int):
             at = np.repeat(start[z], count[z]) + K.ragged(count[z])
             yield pa.record_batch({"set_id": digest[start[z]].view(np.int64), "size": n[z], "grams": K.lists(key[at], count[z]), "weights": K.lists(weight[at], count[z])})
 
-    return run
+    return K.tidy(run)
 
 
 def _places(n: np.ndarray, weight: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -296,7 +296,7 @@ def _prefixes(num: int, den: int, hot: int):
                 yield pa.record_batch(out)
                 lo = to
 
-    return run
+    return K.tidy(run)
 
 
 def _pairs(group: np.ndarray, n: np.ndarray, place: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -373,7 +373,7 @@ def _multiply(num: int, den: int, hot: int):
             z = slice(k, k + (1 << 18))
             yield pa.record_batch({"gram": gram[mine[z]], "pair": pair[mine[z]], "tile": rows[z, 1], "side": rows[z, 2], "set_id": sid[mine[z]]})
 
-    return run
+    return K.tidy(run)
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -465,7 +465,7 @@ def _accumulate(num: int, den: int, pairs: bool, hot: int):
             np.add.at(total, back, links[some])
             yield pa.record_batch({"kind": np.ones(len(own), np.int64), "a": own, "b": total})
 
-    return run
+    return K.tidy(run)
 
 
 def _alike(docs: DataFrame, n: int, threshold: tuple[int, int], id_col: str, text_col: str, pairs: bool, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:

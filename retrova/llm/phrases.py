@@ -139,7 +139,7 @@ def _rows(depth: int):
                     "starts": K.lists(p["begin"], count), "names": K.lists(p["names"].view(np.int64), count),
                 })
 
-    return run
+    return K.tidy(run)
 
 
 def fingerprints(docs: DataFrame, depth: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -180,6 +180,7 @@ def _scored(model: Model, text: str) -> Column:
         for s in texts:
             out = [model.log_odds(*K.utf8(p.column(0))) for p in K.slices(pa.record_batch({"t": s}), "t")]
             yield pa.array(np.concatenate(out) if out else np.zeros(0))
+        K.give_back()
 
     return log_odds(F.col(text))
 

@@ -86,7 +86,7 @@ def _anchor_rows(length: int, k: int):
                 take = pa.array(row)
                 yield pa.record_batch({"gram": gram.view(np.int64), "key": leading(tok.hash, at), "doc_id": piece.column(0).take(take), "text_hash": piece.column(2).take(take), "place": at - tok.first[row]})
 
-    return run
+    return K.tidy(run)
 
 
 def _suffix_rows(length: int, k: int, splitters: np.ndarray):
@@ -130,7 +130,7 @@ def _suffix_rows(length: int, k: int, splitters: np.ndarray):
                     "words": _slabs(words, n), "gaps": K.lists(gaps.astype(np.int32), n),
                 })
 
-    return run
+    return K.tidy(run)
 
 
 def _slabs(flat: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -229,7 +229,7 @@ def _sort_bucket(length: int):
                 z = slice(q, q + (1 << 17))
                 yield pa.record_batch({"doc_id": doc[r[z]], "text_hash": text_hash[r[z]], "word": w[z], "word_end": w[z] + length, "start": begin[z], "end": end[z], "first_doc_id": pa.nulls(len(r[z]), pa.int64()), "whole": whole[z].view(np.int64)})
 
-    return run
+    return K.tidy(run)
 
 
 def _spans(gone, first, row, shift, at, doc, text_hash, word, start, place, base, length):
