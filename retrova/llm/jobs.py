@@ -63,3 +63,9 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
+
+
+def shrink(spark: SparkSession) -> None:
+    """Executors collect their garbage and give back the heap that this leaves free, as Python workers need the memory beside it. A task a slot; that each executor gets one isn't sure, nor needed for right results."""
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()

@@ -36,9 +36,9 @@ NONE = np.int32(2**31 - 1)
 #: Symbols of a unit from which its agenda is a heap of its own.
 LONG = 64
 #: Bytes of text whose units are worked off together.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Draws of occurrences that are compared at a time.
-DRAWS = 1 << 20
+DRAWS = 1 << 18
 
 
 def default_model() -> str:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,7 +137,8 @@ def mixed(docs: DataFrame, sources: dict[str, Column], weights: dict[str, float]
             rates.append((p, whole, max(0.0, rate - whole) * c))
         else:
             rates.append((p, int(others == "keep"), 0.0))
-    rates = spark.createDataFrame(rates, "pattern string, whole int, want double")
+    kinds = pa.schema({"pattern": pa.string(), "whole": pa.int32(), "want": pa.float64()})
+    rates = spark.createDataFrame(pa.Table.from_arrays([pa.array([r[k] for r in rates], x.type) for k, x in enumerate(kinds)], schema=kinds))  # rows of Python would start Python workers of another kind, which stay beside those of the next step
     # where in a pattern's slices the tokens that are wanted beyond whole times are reached; within a slice in proportion
     order = Window.partitionBy("pattern").orderBy("slice")
     part = slices.join(counted(rates.where("want >= 1e-6")), "pattern").withColumn("upto", F.sum("tokens").over(order))

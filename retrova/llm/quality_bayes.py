@@ -182,7 +182,8 @@ def _scored(model: Model, text: str) -> Column:
             yield pa.array(np.concatenate(out) if out else np.zeros(0))
         K.give_back()
 
-    return log_odds(F.col(text))
+    # never null, which Spark can't know: it would filter by that below the join, and so score each text twice
+    return F.coalesce(log_odds(F.col(text)), F.lit(0.0))
 
 
 def _strength(rates: DataFrame, rate: str, n: str, prior: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import cut, release, small_batches, table
+from .jobs import cut, release, shrink, small_batches, table
 from .merge_dropout import encode_documents
 from .mixing import mixed
 from .ngram_join import near_groups
@@ -28,6 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and lang are values of their own. Columns stay, whatever their names. No rows: none.
     """
     small_batches(spark)
+    shrink(spark)
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     return keep_good(docs, train_on(docs, table(spark, sf_dir, "labels"), good, max_train=4000))
 
@@ -41,6 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     all others. Texts that are null or without words are like no other.
     """
     small_batches(spark)
+    shrink(spark)
     if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
         gone = near_groups(docs, n=3, threshold=(1, 2)).select("doc_id")
         release(spark)
@@ -62,6 +64,7 @@ def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one text and cut alike; very long texts are taken whole. No rows: none.
     """
     small_batches(spark)
+    shrink(spark)
     spans = cut(repeated_spans(docs, length=50, k=8))
     release(spark)
     return strip_spans(docs, spans)
@@ -75,6 +78,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts whole. Columns stay, whatever their names. No rows: none.
     """
     small_batches(spark)
+    shrink(spark)
     packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang")
     chosen = mixed(packed, sources(), WEIGHTS, epochs=EPOCHS, seed=17)
     return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
@@ -83,4 +87,5 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, lossless) of each row that has a doc_id and a text; empty texts have no ids, equal rows equal ones, very long texts all of theirs. No rows: none."""
     small_batches(spark)
+    shrink(spark)
     return encode_documents(docs, dropout=0.1, seed=17)
