@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fnv1a64_all
+from ..functions.text import fnv1a64_bytes as fnv1a64
+
 STRATEGIES = ("fixed", "heading", "semantic")
 
 
@@ -82,30 +85,6 @@ def segments(text: str, strategy: str, size: int = 1200, overlap: int = 120) ->
     raise ValueError(f"unknown chunking strategy {strategy!r}")
 
 
-def fnv1a64(data: bytes) -> int:
-    h = 0xCBF29CE484222325
-    for b in data:
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
-def fnv1a64_all(items: list[bytes]) -> np.ndarray:
-    """FNV-1a of many byte strings, all strings' next byte at a time, the longer ones first."""
-    n = np.array([len(x) for x in items], np.int64)
-    order = np.argsort(-n, kind="stable")
-    buf = np.frombuffer(b"".join(items), np.uint8)
-    start = np.cumsum(n) - n
-    h = np.full(len(items), 0xCBF29CE484222325, np.uint64)
-    live = len(items)
-    ends = n[order]
-    for k in range(int(n.max()) if len(n) else 0):
-        while live and ends[live - 1] <= k:
-            live -= 1
-        at = order[:live]
-        h[at] = (h[at] ^ buf[start[at] + k]) * np.uint64(0x100000001B3)
-    return h
-
-
 def chunk_ids(tenant: str, docs: list[str], parts: list[tuple[str, int, int]]) -> list[str]:
     """Ids that follow from tenant, document, place and content: the same input has the same id again."""
     safe = re.sub(r"[^A-Za-z0-9_]", "_", tenant)
