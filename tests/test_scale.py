@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import time
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from retrova import queries
 from retrova.functions import text as T
-from retrova.operators import knn
+from retrova.operators import knn, lexical
 from retrova.plans import evaluation
 from retrova.plans.request import SearchRequest
 
@@ -62,3 +66,63 @@ def test_batch_search_shuffles_by_task_not_by_tile(spark, monkeypatch):
     s = np.round(unit @ unit.T, 6)
     want = {(f"v{i}", n + 1): f"v{j}" for i in range(400) for n, j in enumerate(sorted((j for j in range(400) if j != i), key=lambda j: (-s[i, j], f"v{j}"))[:3])}
     assert {(a["query_id"], a["rank"]): a["id"] for a in knn.batch_top_k(df, df.withColumnRenamed("id", "query_id"), 3, 8).collect()} == want
+
+
+TEXTS = ["", "a b a", "B, c!", "zé z a", "a c c c", "  ", "b b b b", "q"] * 3
+
+
+def _batches():
+    ids = pa.array([f"d{i}" for i in range(len(TEXTS))] + ["none"])
+    return iter([pa.record_batch({"id": ids, "text": pa.array([t.lower() for t in TEXTS] + [None], pa.string())})])
+
+
+def test_postings_need_no_shuffle(spark, monkeypatch):
+    """All postings were shuffled twice, by (term, id) and by ranges."""
+    df = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(TEXTS)] + [("none", None)], "id string, content string")
+    made = lexical.postings(df)
+    assert "Exchange" not in made._jdf.queryExecution().toString()
+    words = [re.findall("[a-z0-9]+", t.lower()) for t in TEXTS]
+    want = {(w, f"d{i}", n, len(own)) for i, own in enumerate(words) for w, n in Counter(own).items()}
+    assert set(map(tuple, made.select("term", "id", "tf", "dl").collect())) == want
+    monkeypatch.setattr(lexical, "PIECE", 8)
+    parts = [b.to_pylist() for b in lexical._post(_batches())]
+    assert len(parts) > 5 and {tuple(r.values()) for p in parts for r in p} == want
+    assert all([(r["term"], r["id"]) for r in p] == sorted((r["term"], r["id"]) for r in p) for p in parts)
+
+
+@pytest.mark.parametrize("k", [2, 100])
+def test_batch_ranking_keeps_k_a_task(monkeypatch, k):
+    """A row for each query and each text that shares a word with it went into a shuffle."""
+    for name, x in (("PIECE", 40), ("QUERIES", 2), ("CELLS", 7)):
+        monkeypatch.setattr(lexical, name, x)
+    asked = {1: "ab", 2: "c", 3: "az", 4: "w"}
+    idf = {"a": 0.5, "b": 1e-9, "c": 2.0, "z": 0.25, "w": 1.0}
+    rows = pa.table({"query_id": [q for q, t in asked.items() for _ in t], "term": [w for t in asked.values() for w in t], "idf": [idf[w] for t in asked.values() for w in t]})
+    got = {}
+    for b in lexical._ranker(rows, 2.0, k)(_batches()):
+        for r in b.to_pylist():
+            got.setdefault(r["query_id"], []).append((r["id"], r["bm25"]))
+    for q, terms in asked.items():
+        every = []
+        for i, t in enumerate(TEXTS):
+            own = re.findall("[a-z0-9]+", t.lower())
+            if set(own) & set(terms):
+                every.append((f"d{i}", round(sum(idf[w] * own.count(w) * 2.2 / (own.count(w) + 1.2 * (0.25 + 0.75 * len(own) / 2.0)) for w in terms), 6)))
+        assert got.get(q, []) == sorted(every, key=lambda x: (-x[1], x[0]))[:k]
+
+
+def test_candidates_meet_postings_without_shuffling_them(spark, tmp_path, monkeypatch):
+    """Candidates times their queries' terms were too many to broadcast, so that all postings were shuffled."""
+    df = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(TEXTS)], "id string, content string")
+    index = lexical.TextIndex.create(df, str(tmp_path))
+    monkeypatch.setattr(lexical, "BROADCAST_ROWS", 40)
+    asked = spark.createDataFrame([(q, "a b c") for q in "uv"], "query_id string, text string")
+    pairs = spark.createDataFrame([(q, f"d{i}") for q in "uv" for i in range(20)], "query_id string, id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = index.scores(asked, pairs)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        every = {(r["query_id"], r["id"]): r["bm25"] for r in index.best(df, asked, 100).collect()}
+        assert {(r["query_id"], r["id"]): r["bm25"] for r in found.collect()} == {x: s for x, s in every.items() if int(x[1][1:]) < 20}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
