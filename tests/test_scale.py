@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from retrova import queries
 from retrova.functions import text as T
+from retrova.operators import chunks as C
 from retrova.operators import knn, lexical
 from retrova.plans import evaluation
 from retrova.plans.request import SearchRequest
+from retrova.plans.search import search
 
 
 def test_hash_takes_time_by_the_byte(spark):
@@ -126,3 +128,10 @@ def test_candidates_meet_postings_without_shuffling_them(spark, tmp_path, monkey
         assert {(r["query_id"], r["id"]): r["bm25"] for r in found.collect()} == {x: s for x, s in every.items() if int(x[1][1:]) < 20}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_search_shows_content_below_the_join_with_vectors(spark, sf_dir):
+    """All content went through the shuffle that joins chunks and vectors, for ten results."""
+    shown = search(C.from_tables(spark, sf_dir), SearchRequest(vector=queries.VECTOR, top_k=3))
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("LeftOuter") < plan.find("LeftSemi")
